@@ -1,0 +1,6 @@
+"""All queries of the engine by name, with their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
