@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_automaton
+from .html_text import op9_html_lineblocks
 from .langid import op2_langid_nb
+from .neardup import op4_order_minhash
+from .quality_model import op10_quality_weaklabel
+from .quality_rules import op7_quality_rules
 from .toxicity import op1_toxicity_fm
 
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_langid_nb": op2_langid_nb,
+    "op4_order_minhash": op4_order_minhash,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe_automaton": op8_bpe_automaton,
+    "op9_html_lineblocks": op9_html_lineblocks,
+    "op10_quality_weaklabel": op10_quality_weaklabel,
 }
 
 ORACLE_SQL: dict[str, str] = {}
