@@ -1,8 +1,10 @@
 """Weak supervision: estimate, from their votes alone, how well rules tell good texts from bad.
 
-Each rule votes good (+), bad (-) or abstains (0). The model has one share of good texts and, for
-each rule, the chance of each vote on a good and on a bad text (the rule's accuracies on either);
-given the class, votes are independent. Expectation-maximisation fits it to counted vote patterns.
+Each rule votes good (+), bad (-) or abstains (0). Bad texts are bad in different ways, and a text
+that one rule rightly rejects may please all others; so the model has a class of good texts and,
+for each rule, a class of texts with the defect that the rule looks for. Given the class, votes are
+independent, with chances for each rule and vote. Expectation-maximisation fits shares and chances
+to counted vote patterns; a text's quality is the posterior probability of the good class.
 """
 
 from __future__ import annotations
@@ -11,57 +13,75 @@ import numpy as np
 
 BAD, ABSTAIN, GOOD = "-", "0", "+"
 VOTES = {BAD: 0, ABSTAIN: 1, GOOD: 2}
+#: What holds of any rule that is worth having: how often it votes bad on good texts at most, and on texts with its defect at least.
+MOST_FALSE, LEAST_TRUE = 0.005, 0.97
 
 
 class LabelModel:
-    def __init__(self, good: float, chances: np.ndarray):
-        """chances[class, rule, vote]; class 0 is bad, 1 is good."""
-        self.good, self.chances = good, chances
+    def __init__(self, shares: np.ndarray, chances: np.ndarray):
+        """shares[class]; chances[class, rule, vote]. Class 0 is good, class 1 + j has the defect of rule j."""
+        self.shares, self.chances = shares, chances
+
+    @property
+    def good(self) -> float:
+        return float(self.shares[0])
+
+    def responsibilities(self, votes: np.ndarray) -> np.ndarray:
+        """[pattern, class] from votes[pattern, rule]."""
+        rules = np.arange(votes.shape[1])
+        logs = np.log(self.chances)[:, rules, votes].sum(2).T + np.log(self.shares)
+        e = np.exp(logs - logs.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
         """The probability that a text with each vote pattern is good."""
-        if not patterns:
-            return np.zeros(0)
-        votes = np.array([[VOTES[v] for v in p] for p in patterns], int).reshape(len(patterns), -1)
-        rules = np.arange(votes.shape[1])
-        logs = np.log(self.chances)[:, rules, votes].sum(2) + np.log([[1 - self.good], [self.good]])
-        top = logs.max(0)
-        e = np.exp(logs - top)
-        return e[1] / e.sum(0)
+        return self.responsibilities(as_votes(patterns))[:, 0] if patterns else np.zeros(0)
 
     def accuracies(self) -> np.ndarray:
         """By rule: the share of its votes, abstentions aside, that the model holds to be right."""
-        right = self.good * self.chances[1, :, 2] + (1 - self.good) * self.chances[0, :, 0]
-        wrong = self.good * self.chances[1, :, 0] + (1 - self.good) * self.chances[0, :, 2]
+        bad = np.tensordot(self.shares[1:], self.chances[1:], (0, 0))
+        right = self.shares[0] * self.chances[0, :, 2] + bad[:, 0]
+        wrong = self.shares[0] * self.chances[0, :, 0] + bad[:, 2]
         return right / np.maximum(right + wrong, 1e-12)
 
 
-def fit(patterns: list[str], counts: list[float], rounds: int = 100, smoothing: float = 1.0) -> LabelModel:
-    """EM over vote patterns with their counts. It starts from rules that are right more often than
-    not, so that `good` keeps its meaning; a rule can never vote bad more readily on good texts.
-    Without patterns the start is returned."""
+def as_votes(patterns: list[str]) -> np.ndarray:
+    return np.array([[VOTES[v] for v in p] for p in patterns], int).reshape(len(patterns), -1)
+
+
+def fit(patterns: list[str], counts: list[float], rounds: int = 200, smoothing: float = 1.0) -> LabelModel:
+    """EM over vote patterns with their counts. Without patterns, where it starts is returned."""
     rules = len(patterns[0]) if patterns else 0
-    good = 0.85
-    chances = np.empty((2, rules, 3))
-    chances[0] = [0.35, 0.25, 0.40]
-    chances[1] = [0.02, 0.28, 0.70]
+    shares = np.full(1 + rules, 0.15 / max(rules, 1))
+    shares[0] = 0.85 if rules else 1.0
+    chances = np.tile([0.15, 0.30, 0.55], (1 + rules, rules, 1))
+    chances[0] = [0.01, 0.20, 0.79]
+    own = np.arange(rules)
+    chances[1 + own, own] = [0.90, 0.08, 0.02]
     if not patterns:
-        return LabelModel(good, chances)
-    votes = np.array([[VOTES[v] for v in p] for p in patterns], int).reshape(len(patterns), rules)
-    n = np.asarray(counts, float)
+        return LabelModel(shares, chances)
+    votes, n, before = as_votes(patterns), np.asarray(counts, float), None
     hot = np.eye(3)[votes]
-    before = None
     for _ in range(rounds):
-        model = LabelModel(good, chances)
-        p = model.posterior(patterns)
-        if before is not None and np.abs(p - before).max() < 1e-6:
+        r = LabelModel(shares, chances).responsibilities(votes)
+        if before is not None and np.abs(r - before).max() < 1e-6:
             break
-        before = p
-        good = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
-        chances = np.empty((2, rules, 3))
-        for c, weight in ((0, n * (1 - p)), (1, n * p)):
-            chances[c] = np.tensordot(weight, hot, (0, 0)) + smoothing
-            chances[c] /= chances[c].sum(1, keepdims=True)
-        turned = chances[1, :, 0] > chances[0, :, 0]
-        chances[1, turned] = chances[0, turned] = (chances[0, turned] + chances[1, turned]) / 2
-    return LabelModel(good, chances)
+        before = r
+        weight = r * n[:, None]
+        shares = np.maximum(weight.sum(0), 1e-3 * n.sum() / (1 + rules))
+        shares /= shares.sum()
+        chances = np.einsum("pc,prv->crv", weight, hot) + smoothing
+        chances /= chances.sum(2, keepdims=True)
+        bound(chances[0], 0, high=MOST_FALSE)
+        defect = chances[1 + own, own]
+        bound(defect, 0, low=LEAST_TRUE)
+        chances[1 + own, own] = defect
+    return LabelModel(shares, chances)
+
+
+def bound(rows: np.ndarray, vote: int, low: float = 0.0, high: float = 1.0) -> None:
+    """Move one vote's chance in each row between bounds and scale the others to fit."""
+    was = rows[:, vote].copy()
+    now = np.clip(was, low, high)
+    rows *= ((1 - now) / np.maximum(1 - was, 1e-12))[:, None]
+    rows[:, vote] = now

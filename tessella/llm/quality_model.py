@@ -36,8 +36,8 @@ LABELLERS = (
     ("odd_characters", lambda m: _over(m["odd"], 0.06, 0.15)),
     ("shouted_letters", lambda m: _over(m["upper"], 0.1, 0.35)),
     ("shouted_marks", lambda m: _over(m["shout"], 0.1, 0.4)),
-    ("repeated_windows", lambda m: _over(m["windows"], 0.05, 0.25)),
-    ("repeated_lines", lambda m: labelmodel.ABSTAIN if m["lines"] < 3 else _over(m["dup"], 0.1, 0.3)),
+    ("repeated_windows", lambda m: _over(m["windows"], 0.05, 0.3)),
+    ("repeated_lines", lambda m: labelmodel.ABSTAIN if 0 < m["dups"] < 3 else _over(m["dup"], 0.1, 0.3)),
     ("stutter", lambda m: _over(m["stutter"], 0.03, 0.15)),
     ("few_words", lambda m: labelmodel.ABSTAIN if not 30 <= m["n"] <= 3000 else _over(1 - m["distinct"], 0.5, 0.72)),
     ("word_length", lambda m: _over(abs(m["length"] - 6.0), 3.0, 6.0)),
@@ -55,7 +55,7 @@ def measures(text: str | None, own: np.ndarray) -> dict | None:
     letters = max(s[textstats.UPPER] + s[textstats.LOWER], 1)
     return {
         "n": n,
-        "lines": c["n_lines"],
+        "dups": c["n_dup_lines"],
         "symbols": c["n_symbols"] / n,
         "odd": (s[textstats.SYMBOL] + s[textstats.OTHER]) / max(len(own), 1),
         "upper": s[textstats.UPPER] / letters,

@@ -27,8 +27,8 @@ def _vote(value: float, good_to: float, bad_from: float) -> str:
 #: Name and vote of each rule, from a text's counts c (n_words over 0) and its shares of character classes s.
 RULES = (
     ("symbols", lambda c, s: _vote(c["n_symbols"] / c["n_words"], 0.02, 0.15)),
-    ("repeated_lines", lambda c, s: labelmodel.ABSTAIN if c["n_lines"] < 3 else _vote(c["n_dup_lines"] / c["n_lines"], 0.1, 0.3)),
-    ("repeated_windows", lambda c, s: _vote(c["n_repeat_words"] / c["n_words"], 0.05, 0.25)),
+    ("repeated_lines", lambda c, s: labelmodel.ABSTAIN if 0 < c["n_dup_lines"] < 3 else _vote(c["n_dup_lines"] / c["n_lines"], 0.1, 0.3)),
+    ("repeated_windows", lambda c, s: _vote(c["n_repeat_words"] / c["n_words"], 0.05, 0.3)),
     ("stutter", lambda c, s: _vote(c["n_stutter"] / c["n_words"], 0.03, 0.15)),
     ("word_length", lambda c, s: _vote(abs(c["word_chars"] / c["n_words"] - 6.0), 3.0, 6.0)),
     ("capitals", lambda c, s: _vote(s[textstats.UPPER] / max(s[textstats.UPPER] + s[textstats.LOWER], 1), 0.1, 0.4)),
