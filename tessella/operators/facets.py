@@ -101,10 +101,11 @@ def places(points: DataFrame, named: DataFrame) -> DataFrame:
 def places_by_cell(points: DataFrame, named: DataFrame, degrees: float = 10.0) -> DataFrame:
     """places() for so many rectangles that they can't be broadcast: both sides are dealt by grid cells and joined on them."""
     cells = lambda lo, hi: F.sequence(F.floor(lo / degrees).cast("int"), F.floor(hi / degrees).cast("int"))
+    named = named.select(F.col("name").alias("place"), "south", "west", "north", "east")
     r = named.withColumn("cy", F.explode(cells(F.col("south"), F.col("north")))).withColumn("cx", F.explode(cells(F.col("west"), F.col("east"))))
-    p = points.withColumn("cy", F.floor(F.col("lat") / degrees).cast("int")).withColumn("cx", F.floor(F.col("lon") / degrees).cast("int"))
+    p = points.select("lat", "lon").withColumn("cy", F.floor(F.col("lat") / degrees).cast("int")).withColumn("cx", F.floor(F.col("lon") / degrees).cast("int"))
     both = p.join(r, ["cy", "cx"]).filter(boxes.in_area(F.col("lat"), F.col("lon"), F.col("south"), F.col("west"), F.col("north"), F.col("east")))
-    return both.groupBy(F.col("name").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 
 
 def export_summary(files: DataFrame) -> DataFrame:

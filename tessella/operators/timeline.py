@@ -44,7 +44,7 @@ def event(name: Column) -> Column:
 def nearest_event(folder: Column) -> Column:
     """The event of the lowest level of a folder path that is one."""
     events = F.transform(F.reverse(F.split(folder, "/")), event)
-    return F.element_at(F.filter(events, lambda e: e.isNotNull()), 1)
+    return F.try_element_at(F.filter(events, lambda e: e.isNotNull()), F.lit(1))
 
 
 def shot_score(name: Column, kind: Column, width: Column, height: Column, camera: Column, pixels: Column) -> Column:
