@@ -1 +1,107 @@
-QUERIES={};SQL={}
+"""Queries over a catalogue's changes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..adapters import load
+from ..functions import dates
+from ..operators import catalog_sync as sync
+
+
+def _index(spark, d):
+    return load(spark, d, "drive_paths").filter("drive = 'a'")
+
+
+def _walk(spark, d):
+    """What a later walk over drive a finds: some files gone, some moved, some changed, some with their time shifted."""
+    rows = load(spark, d, "drive_paths").filter("drive = 'a' AND id % 10 <> 2")
+    return rows.select(
+        F.when(F.col("id") % 10 == 3, F.concat(F.lit("new/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+        "size",
+        F.when(F.col("id") % 10 == 4, F.col("mtime_ns") + F.lit(3_600_000_000_000)).when(F.col("id") % 10 == 6, F.col("mtime_ns") + F.lit(5_000_000_000)).otherwise(F.col("mtime_ns")).alias("mtime_ns"),
+        "quick_hash",
+    ).dropDuplicates(["path"])
+
+
+def scan_reconcile(spark, d):
+    return sync.reconcile(_index(spark, d).dropDuplicates(["path"]), _walk(spark, d))
+
+
+def scan_moves(spark, d):
+    index, found = _index(spark, d).dropDuplicates(["path"]), _walk(spark, d)
+    return sync.match_moves(index, sync.reconcile(index, found), found)
+
+
+def mark_missing(spark, d):
+    return sync.mark_missing(_index(spark, d).dropDuplicates(["path"]), _walk(spark, d), 1_800_000_000).select("id", "missing_since")
+
+
+def arrival_duplicates(spark, d):
+    files = load(spark, d, "drive_paths").filter("drive = 'a'")
+    return sync.arrivals(files, 600)
+
+
+def verify_classification(spark, d):
+    files = load(spark, d, "files")
+    fresh = files.filter("id % 6 <> 1").select("id", F.when(F.col("id") % 12 == 5, F.sha2("full_hash", 256)).otherwise(F.col("full_hash")).alias("full_hash"), (F.col("size") + F.when(F.col("id") % 24 == 5, 1).otherwise(0)).alias("size"), "mtime_ns")
+    return sync.verify(files, fresh)
+
+
+def verify_next(spark, d):
+    return sync.verify_order(load(spark, d, "files").withColumn("path", F.concat_ws("/", "folder", "name")), 40).select("id", "verified_at")
+
+
+def folder_tags(spark, d):
+    return sync.folder_tags(load(spark, d, "files"))
+
+
+def event_folders(spark, d):
+    rows = load(spark, d, "files").select(F.element_at(F.split("folder", "/"), -1).alias("name")).distinct()
+    e = sync.event(F.col("name"))
+    return rows.select("name", e["year"].alias("year"), e["month"].alias("month"), e["name"].alias("event"))
+
+
+def kept_hash_backfill(spark, d):
+    trash = load(spark, d, "files").select("id", F.concat_ws("/", "folder", "name").alias("path"), "full_hash", (F.lit(1700000000 - 1800) + F.col("id") + F.col("id") % 3 * 2000).alias("deleted_at"), F.lit(None).cast("string").alias("kept_hash"))
+    return sync.kept_hash_backfill(trash, load(spark, d, "removed_copies")).select("id", "kept_hash")
+
+
+def tz_shifts(spark, d):
+    return load(spark, d, "files").filter("created_ns IS NOT NULL").select("id", dates.is_tz_shift(F.col("created_ns") - F.col("mtime_ns")).alias("shifted"))
+
+
+def phash_take_over(spark, d):
+    rows = load(spark, d, "files").select("id", "quick_hash", F.when(F.col("id") % 2 == 0, F.col("id")).alias("phash"))
+    return sync.take_over(rows, "phash").select("id", "phash")
+
+
+def folder_upsert(spark, d):
+    files = load(spark, d, "files")
+    old = files.filter("id % 3 <> 0").select(F.col("folder").alias("path")).distinct()
+    from pyspark.sql import Window
+
+    old = old.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("bigint")).withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("event_year", F.lit(None).cast("int")).withColumn("event_month", F.lit(None).cast("int")).withColumn("event_name", F.lit(None).cast("string")).withColumn("last_seen", F.lit(1).cast("bigint"))
+    return sync.upsert_folders(old, files.filter("id % 7 <> 0").select(F.col("folder").alias("path")), 2).select("path", "last_seen", "event_year", "event_month")
+
+
+QUERIES = {f.__name__: f for f in (scan_reconcile, scan_moves, mark_missing, arrival_duplicates, verify_classification, verify_next, folder_tags, event_folders, kept_hash_backfill, tz_shifts, phash_take_over, folder_upsert)}
+
+_WALK = """i AS (SELECT * FROM drive_paths WHERE drive = 'a'), w AS (SELECT CASE WHEN id % 10 = 3 THEN 'new/' || path ELSE path END AS path, size, CASE WHEN id % 10 = 4 THEN mtime_ns + 3600000000000 WHEN id % 10 = 6 THEN mtime_ns + 5000000000 ELSE mtime_ns END AS mtime_ns, quick_hash FROM i WHERE id % 10 <> 2)"""
+_FILES_W = "f AS (SELECT * FROM files WHERE missing_since IS NULL), fr AS (SELECT id, CASE WHEN id % 12 = 5 THEN sha256(full_hash) ELSE full_hash END AS full_hash, size + CASE WHEN id % 24 = 5 THEN 1 ELSE 0 END AS size, mtime_ns FROM files WHERE id % 6 <> 1)"
+SQL = {
+    "scan_reconcile": f"""WITH {_WALK} SELECT coalesce(i.path, w.path) AS path, i.id, CASE WHEN i.id IS NULL THEN 'added' WHEN w.path IS NULL THEN CASE WHEN missing_since IS NULL THEN 'missing' ELSE 'gone' END WHEN missing_since IS NOT NULL THEN 'reappeared'
+WHEN i.size = w.size AND i.mtime_ns = w.mtime_ns THEN 'unchanged' WHEN i.quick_hash = w.quick_hash AND i.size = w.size AND w.mtime_ns <> i.mtime_ns AND (w.mtime_ns - i.mtime_ns) % 900000000000 = 0 AND abs(w.mtime_ns - i.mtime_ns) <= 50400000000000 THEN 'tz_shifted' ELSE 'changed' END AS change FROM i FULL JOIN w ON i.path = w.path""",
+    "mark_missing": f"WITH {_WALK} SELECT id, CASE WHEN path IN (SELECT path FROM w) THEN NULL ELSE coalesce(missing_since, 1800000000) END AS missing_since FROM i",
+    "arrival_duplicates": "WITH r AS (SELECT * FROM drive_paths WHERE drive = 'a' AND missing_since IS NULL), o AS (SELECT full_hash, arg_min(id, path) AS keeper FROM r WHERE id <= 600 GROUP BY full_hash) SELECT id, keeper FROM r JOIN o USING (full_hash) WHERE id > 600",
+    "verify_classification": f"""WITH {_FILES_W} SELECT f.id, CASE WHEN fr.id IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM f g JOIN fr h ON h.id = g.id WHERE g.full_hash = f.full_hash AND g.id <> f.id) THEN 'relocated' ELSE 'missing' END
+WHEN f.full_hash IS NULL THEN 'unhashed' WHEN fr.full_hash = f.full_hash THEN 'ok' WHEN fr.size = f.size AND fr.mtime_ns = f.mtime_ns THEN 'damaged' ELSE 'changed' END AS verdict FROM f LEFT JOIN fr ON fr.id = f.id""",
+    "verify_next": "SELECT id, verified_at FROM files WHERE missing_since IS NULL ORDER BY verified_at NULLS FIRST, folder || '/' || name, id LIMIT 40",
+    "folder_tags": "WITH l AS (SELECT id AS file_id, unnest(string_split(folder, '/')) AS lv FROM files) SELECT DISTINCT file_id, CASE WHEN regexp_matches(lv, '^20[0-9][0-9]-[01][0-9] ') THEN substr(lv, 9) ELSE lv END AS name FROM l",
+    "event_folders": "WITH n AS (SELECT DISTINCT regexp_extract(folder, '[^/]*$') AS name FROM files) SELECT name, CASE WHEN regexp_matches(name, '^20') THEN CAST(substr(name, 1, 4) AS INT) END AS year, CASE WHEN regexp_matches(name, '^20') THEN CAST(substr(name, 6, 2) AS INT) END AS month, CASE WHEN regexp_matches(name, '^20') THEN substr(name, 9) END AS event FROM n",
+    "kept_hash_backfill": "SELECT f.id, r.kept_hash FROM (SELECT id, folder || '/' || name AS path, full_hash, 1700000000 - 1800 + id + id % 3 * 2000 AS deleted_at FROM files) f LEFT JOIN removed_copies r ON r.path = f.path AND r.full_hash = f.full_hash AND r.removed_at BETWEEN f.deleted_at AND f.deleted_at + 3600",
+    "tz_shifts": "SELECT id, created_ns <> mtime_ns AND (created_ns - mtime_ns) % 900000000000 = 0 AND abs(created_ns - mtime_ns) <= 50400000000000 AS shifted FROM files WHERE created_ns IS NOT NULL",
+    "phash_take_over": "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN id END, min(CASE WHEN id % 2 = 0 THEN id END) OVER (PARTITION BY quick_hash)) AS phash FROM files",
+    "folder_upsert": """WITH o AS (SELECT DISTINCT folder AS path FROM files WHERE id % 3 <> 0), n AS (SELECT DISTINCT folder AS path FROM files WHERE id % 7 <> 0)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 1 ELSE 2 END AS last_seen, CASE WHEN o.path IS NULL AND regexp_matches(n.path, '/20') THEN CAST(substr(n.path, 4, 4) AS INT) END AS event_year, CASE WHEN o.path IS NULL AND regexp_matches(n.path, '/20') THEN CAST(substr(n.path, 9, 2) AS INT) END AS event_month FROM o FULL JOIN n ON o.path = n.path""",
+}
