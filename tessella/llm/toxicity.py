@@ -25,6 +25,8 @@ PREFIXES = (3, 4, 5, 6)
 SAMPLE_PER_CLASS = 4_000
 Z_LEAST = 3.5
 FACTORS = 4
+#: Batches that training takes at least.
+STEPS = 600
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W_]+")
@@ -94,13 +96,15 @@ def train(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 15,
     rows = [np.searchsorted(ids, d[np.isin(d, ids)]) for d in docs]
     rng = np.random.default_rng(seed)
     n = len(ids)
-    w0, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+    w0, w, v = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
     g0, gw, gv = 1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)
     order = np.arange(len(rows))
-    for _ in range(epochs):
+    size = int(min(256, max(16, len(rows) // 16)))
+    # Few texts make few batches; they are gone through more often.
+    for _ in range(max(epochs, STEPS * size // len(rows))):
         rng.shuffle(order)
-        for lo in range(0, len(order), 256):
-            batch = order[lo : lo + 256]
+        for lo in range(0, len(order), size):
+            batch = order[lo : lo + size]
             flat = np.concatenate([rows[i] for i in batch]).astype(np.int64)
             owner = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
             own = v[flat]
