@@ -8,10 +8,10 @@ row a language (some hundred kB, broadcast); texts are scored in numpy, many at
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_sample, fold, map_text, table
+from .common import bounded_sample, fold, map_text, slices, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -73,15 +73,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sample = bounded_sample(rows, "doc_id", per_lang, "langid", ["lang"])
 
-    def count(frames):
+    def count(batches):
         seen: dict[str, np.ndarray] = {}
-        for f in frames:
-            for name, g in f.groupby("lang"):
-                bucket, _, _ = ngrams(g["text"].tolist())
+        for part in slices(batches):
+            names = np.array(part.column(0).to_pylist(), object)
+            texts = part.column(1).to_pylist()
+            for name in set(names.tolist()):
+                bucket, _, _ = ngrams([texts[i] for i in np.flatnonzero(names == name)])
                 seen[name] = seen.get(name, 0) + np.bincount(bucket, minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(seen), "counts": [v.astype(np.float64).tobytes() for v in seen.values()]})
+        if seen:
+            yield pa.RecordBatch.from_pydict({"lang": list(seen), "counts": [v.astype(np.float64).tobytes() for v in seen.values()]})
 
-    parts = sample.repartition(6).select("lang", "text").mapInPandas(count, "lang string, counts binary").collect()
+    parts = sample.repartition(6).select("lang", "text").mapInArrow(count, "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in parts:
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.float64)
@@ -106,7 +109,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
             bucket, owner, has = ngrams(texts)
             if not langs:
                 return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
-            sums = np.stack([np.bincount(owner, row[bucket], len(texts)) for row in logp], 1)
+            sums = np.stack([np.bincount(owner, row[bucket], len(texts)) for row in logp], 1).astype(float)
             sums *= np.minimum(1.0, 200 / np.maximum(np.bincount(owner, minlength=len(texts)), 1))[:, None]
             p = np.exp(sums - sums.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
