@@ -128,7 +128,8 @@ def fit(df: DataFrame, bound: int = SAMPLE, epochs: int = 12, rate: float = 0.3,
     at = [np.frombuffer(r["at"], np.int16).astype(np.int64) for r in rows]
     value = [np.frombuffer(r["value"], np.float32).astype(float) for r in rows]
     w, g = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
-    w0, g0 = float(np.log(labels.good / (1 - labels.good))), 1e-6
+    prior = min(labels.good, 1 - 1e-3)
+    w0, g0 = float(np.log(prior / (1 - prior))), 1e-6
     rng = np.random.default_rng(seed)
     order = np.arange(len(rows))
     for _ in range(epochs):
