@@ -190,6 +190,15 @@ def tag_suggestions(spark, d):
     return search.tag_hits(facets.tag_facets(load(spark, d, "files"), load(spark, d, "file_tags")), "al", 8)
 
 
+def all_drives_timeline(spark, d):
+    """Even and odd files as two drives."""
+    from ..operators import across
+
+    lib = _library(spark, d)
+    part = lambda n: Library(lib.items.filter(F.col("id") % 3 != n), lib.tags)
+    return across.timeline({"a": part(0), "b": part(1)}, across.NamedQuery(Query(tags=("en",)))).select("drive", "id", "loved", "n_drives")
+
+
 def map_points(spark, d):
     items = timeline.effective_position(_items(spark, d), load(spark, d, "geo_overrides"))
     return items.filter("NOT is_hidden AND eff_lat IS NOT NULL AND eff_lon IS NOT NULL").select("id", "eff_lat", "eff_lon")
@@ -198,7 +207,7 @@ def map_points(spark, d):
 QUERIES = {f.__name__: f for f in (
     timeline_fallback_dates, timeline_media_types, date_term_filter, needs_a_date, month_groups, effective_values, faceted_query_and, free_text_words, favourite_query, people_query, names_query, text_query, hidden_query, hiding_folders,
     tag_facets, facets_within, date_facets, date_suggestions, conditional_counters, histogram_buckets, looks_emptied, recognition_overview, recognition_errors, pending_not_looked, ranked_pending, places_range_join, places_by_cell,
-    export_summary, pair_counts, selection_tags, selection_names, text_all_words, text_snippets, lines_near_limit, text_index_search, text_stats, tag_suggestions, map_points,
+    export_summary, pair_counts, selection_tags, selection_names, text_all_words, text_snippets, lines_near_limit, text_index_search, text_stats, tag_suggestions, map_points, all_drives_timeline,
 )}
 
 #: The timeline in SQL: the same rules written out once more.
@@ -269,5 +278,6 @@ AND (contains(lower(path), 'fr') OR id IN (SELECT file_id FROM file_tags WHERE c
     "text_stats": f"""WITH {_LINES}, hid AS (SELECT DISTINCT key, norm FROM li WHERE id % 9 = 0), s AS (SELECT * FROM li WHERE score >= 0.7 AND h >= 0.01 AND NOT EXISTS (SELECT 1 FROM hid WHERE hid.key = li.key AND hid.norm = li.norm))
 SELECT 'read' AS what, count(DISTINCT key) AS n FROM li UNION ALL SELECT 'with_text', count(DISTINCT key) FROM s UNION ALL SELECT 'stored', count(*) FROM li UNION ALL SELECT 'shown', count(*) FROM s UNION ALL SELECT 'hidden', count(*) FROM hid""",
     "tag_suggestions": "SELECT t.name, count(DISTINCT file_id) AS n FROM file_tags t JOIN files f ON f.id = t.file_id WHERE f.missing_since IS NULL AND f.kind <> 'raw' AND contains(lower(t.name), 'al') GROUP BY t.name HAVING bool_or(source = 'user') ORDER BY n DESC, t.name LIMIT 8",
+    "all_drives_timeline": _from_items("""SELECT drive, id, loved, n_drives FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), full_hash ORDER BY drive, path) AS r, bool_or(heart) OVER (PARTITION BY lower(name), full_hash) AS loved, count(drive) OVER (PARTITION BY lower(name), full_hash) - (count(*) OVER (PARTITION BY lower(name), full_hash) - (CASE WHEN bool_or(drive = 'a') OVER (PARTITION BY lower(name), full_hash) THEN 1 ELSE 0 END + CASE WHEN bool_or(drive = 'b') OVER (PARTITION BY lower(name), full_hash) THEN 1 ELSE 0 END)) AS n_drives FROM d) WHERE r = 1""", "d AS (SELECT 'a' AS drive, *, id IN (SELECT file_id FROM file_tags WHERE name = 'favourite') AS heart FROM items WHERE id % 3 <> 0 AND NOT is_hidden AND id IN (SELECT file_id FROM file_tags WHERE name = 'en') UNION ALL SELECT 'b', *, id IN (SELECT file_id FROM file_tags WHERE name = 'favourite') FROM items WHERE id % 3 <> 1 AND NOT is_hidden AND id IN (SELECT file_id FROM file_tags WHERE name = 'en'))"),
     "map_points": _from_items("SELECT i.id, p.eff_lat, p.eff_lon FROM items i JOIN pos p ON p.id = i.id WHERE NOT is_hidden AND p.eff_lat IS NOT NULL AND p.eff_lon IS NOT NULL", _POS),
 }

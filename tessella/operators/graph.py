@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..tables import cut
+from ..tables import cut, release
 
 
 def _with_least(sides: DataFrame) -> DataFrame:
@@ -25,11 +25,13 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        starred = _with_least(large)
-        small = starred.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v")))
+        # Links are told apart where they are grouped next; equal ones do no harm before that.
+        large = cut(_with_least(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        starred = _with_least(large).filter("u <> m")
+        small = starred.select(F.explode(F.when(F.col("v") != F.col("m"), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v"))))).alias("e")).select("e.u", "e.v")
         edges = cut(small.filter("u <> v").distinct())
+        del both, large, starred, small
+        release(edges.sparkSession)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -50,6 +50,6 @@ def recognize(pictures: DataFrame, make_model: Callable[[], Callable[[bytes], di
                     out.append({"key": r.key, "n": None, "error": error})
                     if failures >= most_failures:
                         model, failures = make_model(), 0
-            yield pd.DataFrame(out, columns=["key", "n", "x", "y", "w", "h", "score", "embedding", "error"]).astype({"n": "Int32"})
+            yield pd.DataFrame(out, columns=["key", "n", "x", "y", "w", "h", "score", "embedding", "error"]).astype({"key": object, "error": object, "n": "Int32"})
 
     return pictures.select("key", "content", "width", "height").mapInPandas(run, FACES)

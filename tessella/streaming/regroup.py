@@ -56,7 +56,7 @@ def stream_triggers(events: DataFrame, quiet: int = QUIET_S, soon: int = SOON_S,
             elif state.exists:
                 state.remove()
         if fired:
-            yield pd.DataFrame(fired, columns=["drive", "reason", "n"])
+            yield pd.DataFrame(fired, columns=["drive", "reason", "n"]).astype({"drive": object, "reason": object})
 
     return events.groupBy("drive").applyInPandasWithState(step, "drive string, reason string, n int", "pending int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 

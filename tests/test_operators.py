@@ -137,3 +137,21 @@ def test_a_facet_counts_what_its_filter_shows(spark, sf):
 
 def test_schemas():
     assert all(schemas.schema(t).names for t in schemas.TABLES)
+
+
+def test_edits(spark):
+    from tessella.operators import edits
+
+    tags = spark.createDataFrame([(1, "Sea", "user", 1), (2, "sea", "folder", None)], "file_id bigint, name string, source string, added_at bigint")
+    files = spark.createDataFrame([(1,), (2,), (2,)], "file_id bigint")
+    more = edits.add_tag(tags, files, " SEA ", 9)
+    assert rows(more.filter("source = 'user'").select("file_id")) == [(1,), (2,)]
+    assert rows(edits.remove_tag(more, files, "sea").select("file_id", "source")) == [(2, "folder")]
+    moved = edits.rename_folder(spark.createDataFrame([("a",), ("a/b",), ("ab",)], "path string"), "a", "z")
+    assert rows(moved) == [("ab",), ("z",), ("z/b",)]
+    over = spark.createDataFrame([("k", "2001-01-01T00:00:00", None, 1)], "key string, taken string, taken_offset string, at bigint")
+    now, undo = edits.apply_dates(over, spark.createDataFrame([("k", "2002-01-01T00:00:00", None), ("l", "2003-01-01T00:00:00", "+01:00")], "key string, taken string, taken_offset string"), 5)
+    assert rows(now.select("key", "taken")) == [("k", "2002-01-01T00:00:00"), ("l", "2003-01-01T00:00:00")]
+    assert dict(rows(undo.select("key", "taken"))) == {"k": "2001-01-01T00:00:00", "l": None}
+    with pytest.raises(ValueError):
+        edits.apply_dates(over, spark.createDataFrame([("k", "x", None)], "key string, taken string, taken_offset string"), 5)
