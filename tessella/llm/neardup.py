@@ -10,12 +10,12 @@ components of the links.
 
 Copies. Texts with the same words are one node from the start, so copies are never paired.
 
-Buckets. In a bucket of up to PAIRED nodes all pairs are candidates. In a larger one every node is
-paired with the bucket's least and greatest node. Nodes that then lie in neither one's component
-go on, in a next round, under the bucket's key joined with further sketch values, which parts
-texts that share a frequent passage only; a round's buckets are treated the same way. No node is
-dropped: the rounds end when no such bucket holds two nodes, or after ROUNDS, when the keys join
-so many k-mers that their texts would long have linked to one another.
+Buckets. The first FIRST values link most classes. Then, in every bucket, a class so far counts as
+its least and greatest node. In a bucket of up to PAIRED of these all pairs of unlike classes are
+candidates; in a larger one each is paired with the bucket's least and greatest. Nodes that then
+are with neither go on, in a next round, under the bucket's key joined with further sketch values,
+which parts texts that share a frequent passage only. No node is dropped; the last round's keys
+join so many k-mers in order that unlike texts hardly ever share one.
 """
 
 from __future__ import annotations
@@ -27,15 +27,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.graph import components
+from ..tables import release
 from .common import cut, map_text, table
-from .components import components
 
 K = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 PICKS = 2
 PAIRED = 6
-ROUNDS = 3
+ROUNDS = 2
+#: Sketch values that the first links are sought by.
+FIRST = 8
 #: Further sketch values that a node left over is put under in each round.
 SPREAD = 4
 CACHE_WORDS = 300_000
@@ -221,16 +224,30 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def paired(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets(bucket, id, ...): candidate pairs (a, b), and the rows of buckets with more than PAIRED nodes with their least and greatest node."""
-    told = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
-    two = told.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    rest = cut(buckets.join(told.filter("n > 2"), "bucket"))
-    few = rest.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # bounded: PAIRED ids
-    each = few.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
+def paired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows(bucket, j, id, comp): candidate pairs (a, b) of unlike components, and the rows of buckets with more than PAIRED rows
+    with the bucket's least and greatest row."""
+    row = F.struct("id", "comp")
+    told = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"), F.max(row).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    rest = cut(rows.join(told.select("bucket", "n", "least", "most"), "bucket"))
+    few = rest.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(row)).alias("own"))  # bounded: PAIRED rows
+    each = few.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
     many = rest.filter(F.col("n") > PAIRED)
-    stars = many.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("most").alias("b")))).alias("p")).select("p.a", "p.b")
-    return two.unionByName(each).unionByName(stars).filter("a <> b").distinct(), many
+    stars = many.select(F.explode(F.array(F.struct(F.col("least").alias("x"), row.alias("y")), F.struct(F.col("most").alias("x"), row.alias("y")))).alias("p")).select("p.x", "p.y")
+    pairs = each.unionByName(stars).filter("x.id <> y.id AND x.comp <> y.comp")
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), many
+
+
+def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(id, ...) with comp, the component of each id by the links so far."""
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    return rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def thinned(rows: DataFrame) -> DataFrame:
+    """Of rows(bucket, j, id, comp), each component's least and greatest id in a bucket: its members are linked already."""
+    ends = rows.groupBy("bucket", "j", "comp").agg(F.min("id").alias("x"), F.max("id").alias("y"))
+    return ends.select("bucket", "j", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("id"))
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -248,32 +265,36 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     held = known.select("doc_id", "key").join(nodes.select("key", "id"), "key")
     links = held.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
+    # Buckets with two nodes or more, and the words of all nodes in one. An id with several texts is several nodes of one id.
     sketched = nodes.filter(F.size("sketch") > 0).select("id", "sketch")
     buckets = sketched.select("id", F.posexplode("sketch").alias("j", "bucket")).select("bucket", "id", "j")
-    # An id with several texts is several nodes of one id; a bucket counts it once.
-    pairs, many = paired(buckets)
-    pairs = cut(pairs)
-    near = None
-    done = None
-    for r in range(ROUNDS + 1):
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi")))
-        found = cut(verified(pairs, words, similarity).distinct())
-        near = found if near is None else near.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        if r == ROUNDS or many.isEmpty():
-            break
-        roots = components(near)
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        open_rows = many.join(root("id"), "id", "left").join(root("least"), "least", "left").join(root("most"), "most", "left")
-        own = F.coalesce("id_root", "id")
-        open_rows = open_rows.filter((own != F.coalesce("least_root", "least")) & (own != F.coalesce("most_root", "most"))).select("bucket", "id", "j")
-        spread = open_rows.join(sketched, "id").withColumn("t", F.explode(F.array(*[F.lit(1 + r * SPREAD + t) for t in range(SPREAD)])))
-        further = F.element_at("sketch", (F.pmod(F.col("j") + F.col("t"), F.lit(SKETCHES)) + 1).cast("int"))
-        pairs, many = paired(cut(spread.select(F.xxhash64("bucket", "t", further).alias("bucket"), "id", "j").distinct()))
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
+    shared = cut(buckets.join(shared, "bucket").distinct())
+    ids = shared.select("id").distinct()
+    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi")))
+
+    # The first values alone link most classes; after that a class counts as one in each bucket.
+    pairs, _ = paired(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))
+    done = cut(pairs)
+    near = cut(verified(done, words, similarity).distinct())
+    rows = thinned(with_roots(shared, near))
+    del pairs
+    release(df.sparkSession)
+    for r in range(ROUNDS):
+        pairs, many = paired(rows)
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and many.isEmpty():
+        near = near.unionByName(cut(verified(pairs, words, similarity).distinct()))
+        if r + 1 == ROUNDS or many.isEmpty():
             break
+        done = done.unionByName(pairs)
+        left = with_roots(many.select("bucket", "j", "id", F.col("least.id").alias("least"), F.col("most.id").alias("most")), near)
+        # Who now is with the bucket's least or greatest is placed; the others go on, parted by further values.
+        ends = left.groupBy("bucket").agg(F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("c1"), F.max(F.when(F.col("id") == F.col("most"), F.col("comp"))).alias("c2"))
+        left = left.join(ends, "bucket").filter("comp <> c1 AND comp <> c2").select("bucket", "j", "id", "comp")
+        spread = left.join(sketched, "id").withColumn("t", F.explode(F.array(*[F.lit(1 + r * SPREAD + t) for t in range(SPREAD)])))
+        further = F.element_at("sketch", (F.pmod(F.col("j") + F.col("t"), F.lit(SKETCHES)) + 1).cast("int"))
+        release(df.sparkSession)
+        rows = thinned(cut(spread.select(F.xxhash64("bucket", "t", further).alias("bucket"), "j", "id", "comp").distinct()))
     roots = components(links.unionByName(near))
     out = signed.select("doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
