@@ -23,12 +23,12 @@ def search_fold_text(s: str) -> str:
 
 @F.pandas_udf(StringType())
 def nfc(column: pd.Series) -> pd.Series:
-    return column.map(lambda s: None if s is None else nfc_text(s))
+    return column.astype(object).map(lambda s: nfc_text(s) if isinstance(s, str) else None).astype(object)
 
 
 @F.pandas_udf(StringType())
 def search_fold(column: pd.Series) -> pd.Series:
-    return column.map(lambda s: None if s is None else search_fold_text(s))
+    return column.astype(object).map(lambda s: search_fold_text(s) if isinstance(s, str) else None).astype(object)
 
 
 def tag_fold(c: Column) -> Column:

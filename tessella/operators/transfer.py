@@ -43,7 +43,8 @@ def new_decisions(incoming: DataFrame, existing: DataFrame, least_iou: float = 0
             if all(_iou(r, h) < least_iou for h in like):
                 held.append(r)
                 kept.append(r.Index)
-        return new.loc[kept]
+        out = new.loc[kept]
+        return out.astype({c: object for c in out.columns if not pd.api.types.is_numeric_dtype(out[c]) and not pd.api.types.is_bool_dtype(out[c])})
 
     return incoming.groupBy("key").cogroup(existing.groupBy("key")).applyInPandas(add, schema)
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import strings
 from ..functions.boxes import valid_position
@@ -145,13 +148,9 @@ METADATA = "path string, taken string, taken_offset string, width int, height in
 def metadata(files: DataFrame) -> DataFrame:
     """METADATA of files(path, content); positions that are none are null, and a file that can't be read is a row with an error."""
 
-    def run(batches):
-        import pyarrow as pa
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(METADATA))
 
-        schema = to_arrow_schema(StructType.fromDDL(METADATA))
+    def run(batches):
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -47,7 +47,7 @@ def recognize(pictures: DataFrame, make_model: Callable[[], Callable[[bytes], di
                         error = str(e)[:200]
                 if error is not None:
                     failures += 1
-                    out.append({"key": r.key, "n": None, "error": error})
+                    out.append({"key": r.key, "n": None, "embedding": None, "error": error})
                     if failures >= most_failures:
                         model, failures = make_model(), 0
             yield pd.DataFrame(out, columns=["key", "n", "x", "y", "w", "h", "score", "embedding", "error"]).astype({"key": object, "error": object, "n": "Int32"})
