@@ -224,7 +224,7 @@ def decode(df: DataFrame, spec: bytes, ids: str = "ids", keep: tuple[str, ...] =
     @F.pandas_udf("string")
     def spelled(column):
         auto = _compiled(*sent.value)
-        return column.map(lambda x: None if x is None else auto.decode(x))
+        return column.map(lambda x: None if x is None else auto.decode(x)).astype(object)
 
     return df.select(*keep, spelled(F.col(ids)).alias("text"))
 
