@@ -10,12 +10,12 @@ components of the links.
 
 Copies. Texts with the same words are one node from the start, so copies are never paired.
 
-Buckets. The first FIRST values link most classes. Then, in every bucket, a class so far counts as
-its least and greatest node. In a bucket of up to PAIRED of these all pairs of unlike classes are
-candidates; in a larger one each is paired with the bucket's least and greatest. Nodes that then
-are with neither go on, in a next round, under the bucket's key joined with further sketch values,
-which parts texts that share a frequent passage only. No node is dropped; the last round's keys
-join so many k-mers in order that unlike texts hardly ever share one.
+Buckets. The first FIRST values link most classes: all pairs of a bucket of up to PAIRED nodes, in a
+larger one each node with the bucket's least and greatest. Then every two nodes of unlike classes
+that share any value are looked at. In large buckets, pairs whose lengths or word counts alone ask
+for too many edits are left out, which loses none; a bucket is dealt in blocks of bounded size.
+First each node meets its most promising partner of another class, so that large groups are one
+class when what is left is aligned.
 """
 
 from __future__ import annotations
@@ -36,11 +36,10 @@ SIMILARITY = 0.8
 SKETCHES = 40
 PICKS = 2
 PAIRED = 6
-ROUNDS = 2
+#: Rows of a large bucket that are dealt together, and hash values that words are counted by.
+BLOCK, DIMS = 1024, 256
 #: Sketch values that the first links are sought by.
 FIRST = 8
-#: Further sketch values that a node left over is put under in each round.
-SPREAD = 4
 CACHE_WORDS = 300_000
 CHUNK = 4096
 WORD = re.compile(r"[^\W_]+")
@@ -224,18 +223,131 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def paired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows(bucket, j, id, comp): candidate pairs (a, b) of unlike components, and the rows of buckets with more than PAIRED rows
-    with the bucket's least and greatest row."""
+def told(rows: DataFrame) -> DataFrame:
+    """rows(bucket, id, comp, ...) of the buckets that hold unlike components, with n, the bucket's rows, and its least and greatest row."""
     row = F.struct("id", "comp")
-    told = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"), F.max(row).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    rest = cut(rows.join(told.select("bucket", "n", "least", "most"), "bucket"))
-    few = rest.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(row)).alias("own"))  # bounded: PAIRED rows
-    each = few.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
-    many = rest.filter(F.col("n") > PAIRED)
-    stars = many.select(F.explode(F.array(F.struct(F.col("least").alias("x"), row.alias("y")), F.struct(F.col("most").alias("x"), row.alias("y")))).alias("p")).select("p.x", "p.y")
-    pairs = each.unionByName(stars).filter("x.id <> y.id AND x.comp <> y.comp")
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), many
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"), F.max(row).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return cut(rows.join(sizes.select("bucket", "n", "least", "most"), "bucket"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    unlike = pairs.filter("x.id <> y.id AND x.comp <> y.comp")
+    return unlike.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of unlike components in the told() buckets of up to PAIRED rows."""
+    few = rows.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("own"))  # bounded: PAIRED rows
+    return ordered(few.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y"))
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """In the larger told() buckets the pairs of each row with the bucket's least and greatest."""
+    many, row = rows.filter(F.col("n") > PAIRED), F.struct("id", "comp")
+    return ordered(many.select(F.explode(F.array(F.struct(F.col("least").alias("x"), row.alias("y")), F.struct(F.col("most").alias("x"), row.alias("y")))).alias("p")).select("p.x", "p.y"))
+
+
+def bags(words: DataFrame) -> DataFrame:
+    """(id, size, bag) of words(id, words): the number of words and how many fall on each of DIMS hash values (255 for more)."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
+            made = [np.minimum(np.bincount(w % DIMS, minlength=DIMS), 255).astype(np.uint8).tobytes() for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in own], pa.int32()), pa.array(made, pa.binary())], names=["id", "size", "bag"])
+
+    return words.select("id", "words").mapInArrow(run, "id bigint, size int, bag binary")
+
+
+def possible(size: np.ndarray, bag: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that a pair needs at least, by lengths and bags; -1 where that is more than similar() allows. Each edit changes a bag by one word either way."""
+    least = np.empty(len(x), np.int64)
+    for lo in range(0, len(x), CHUNK):
+        i, j = x[lo : lo + CHUNK], y[lo : lo + CHUNK]
+        off = bag[i].astype(np.int16) - bag[j]
+        least[lo : lo + CHUNK] = np.maximum(np.where(off > 0, off, 0).sum(1), np.where(off < 0, -off, 0).sum(1))
+    longest = np.maximum(size[x], size[y])
+    least = np.maximum(least, longest - np.minimum(size[x], size[y]))
+    return np.where(least <= ((1 - similarity) * longest + 1e-9).astype(np.int64), least, -1)
+
+
+def block_pairs(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bag: np.ndarray, part: np.ndarray, similarity: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that can be similar, of unlike components; with `nearest` only each row's pair of least bound.
+    Rows of part 0 are compared with those of part 1, or with one another if there is no part 1."""
+    order = np.lexsort((ids, size))
+    ids, comp, size, bag, part = ids[order], comp[order], size[order], bag[order], part[order]
+    across, n = bool(part.any()), len(ids)
+    closest, partner = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    xs, ys = [], []
+    # Rows are in order of their lengths: those that a row can be similar to follow it closely.
+    last = np.searchsorted(size, size / similarity + 1e-6, "right")
+    for i in range(n):
+        j = np.arange(i + 1, last[i])
+        j = j[(comp[j] != comp[i]) & (ids[j] != ids[i])]
+        if across:
+            j = j[part[j] != part[i]]
+        if not len(j):
+            continue
+        bound = possible(size, bag, np.full(len(j), i), j, similarity)
+        j, bound = j[bound >= 0], bound[bound >= 0]
+        if not len(j):
+            continue
+        if nearest:
+            at = bound.argmin()
+            if bound[at] < closest[i]:
+                closest[i], partner[i] = bound[at], j[at]
+            less = bound < closest[j]
+            closest[j[less]], partner[j[less]] = bound[less], i
+        else:
+            xs.append(np.full(len(j), i))
+            ys.append(j)
+    if nearest:
+        xs, ys = [np.flatnonzero(partner >= 0)], [partner[partner >= 0]]
+    x, y = (np.concatenate(v) if v else np.zeros(0, int) for v in (xs, ys))
+    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+
+
+def large_pairs(rows: DataFrame, bag: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of unlike components in the told() buckets of more than PAIRED rows, but for those that by their lengths and bags
+    cannot be similar; with `nearest` only each row's most promising one.
+
+    A bucket is dealt in parts of about BLOCK rows, and each two parts meet in one block, so a block is bounded and none is left out.
+    """
+    many = rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct()
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = many.join(bag, "id").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    blocks = blocks.select(cell.alias("cell"), "id", "comp", "size", "bag", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("part"))
+    blocks = blocks.repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def made(batches: list[pa.RecordBatch], keep_last: bool):
+            t = pa.Table.from_batches(batches).combine_chunks()
+            cells = t.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+            if keep_last:
+                edges = edges[:-1]
+            own = [t.column(i).to_numpy() for i in (1, 2, 3, 5)]
+            bag = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, DIMS)
+            found = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                i, c, s, p = (v[lo:hi] for v in own)
+                if (c != c[0]).any():
+                    found.append(block_pairs(i, c, s, bag[lo:hi], p, similarity, nearest))
+            pairs = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in pairs], names=["a", "b"]), t.slice(int(edges[-1])).to_batches() if keep_last else []
+
+        for batch in batches:
+            if batch.num_rows:
+                out, held = made([*held, batch], True)
+                yield out
+        if held:
+            yield made(held, False)[0]
+
+    return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -273,28 +385,26 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     ids = shared.select("id").distinct()
     words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi")))
 
-    # The first values alone link most classes; after that a class counts as one in each bucket.
-    pairs, _ = paired(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))
-    done = cut(pairs)
+    # The first values alone link most classes; after that only pairs of unlike classes are looked at.
+    first = told(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))
+    done = cut(small_pairs(first).unionByName(star_pairs(first)).distinct())
     near = cut(verified(done, words, similarity).distinct())
-    rows = thinned(with_roots(shared, near))
-    del pairs
+    del first
     release(df.sparkSession)
-    for r in range(ROUNDS):
-        pairs, many = paired(rows)
+    # Each row of a large bucket meets the most promising of another class, then, as few are left apart, all that can be similar.
+    bag = cut(bags(words))
+    for nearest in (True, False):
+        linked = with_roots(shared, near)
+        rows = told(linked)
+        pairs = large_pairs(rows, bag, similarity, nearest)
+        if nearest:
+            small = told(thinned(linked))
+            pairs = pairs.unionByName(small_pairs(small)).distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         near = near.unionByName(cut(verified(pairs, words, similarity).distinct()))
-        if r + 1 == ROUNDS or many.isEmpty():
-            break
         done = done.unionByName(pairs)
-        left = with_roots(many.select("bucket", "j", "id", F.col("least.id").alias("least"), F.col("most.id").alias("most")), near)
-        # Who now is with the bucket's least or greatest is placed; the others go on, parted by further values.
-        ends = left.groupBy("bucket").agg(F.max(F.when(F.col("id") == F.col("least"), F.col("comp"))).alias("c1"), F.max(F.when(F.col("id") == F.col("most"), F.col("comp"))).alias("c2"))
-        left = left.join(ends, "bucket").filter("comp <> c1 AND comp <> c2").select("bucket", "j", "id", "comp")
-        spread = left.join(sketched, "id").withColumn("t", F.explode(F.array(*[F.lit(1 + r * SPREAD + t) for t in range(SPREAD)])))
-        further = F.element_at("sketch", (F.pmod(F.col("j") + F.col("t"), F.lit(SKETCHES)) + 1).cast("int"))
+        del linked, rows
         release(df.sparkSession)
-        rows = thinned(cut(spread.select(F.xxhash64("bucket", "t", further).alias("bucket"), "j", "id", "comp").distinct()))
     roots = components(links.unionByName(near))
     out = signed.select("doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

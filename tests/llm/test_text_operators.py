@@ -246,3 +246,43 @@ def test_sketch_keeps_order():
     same = (neardup.sketch(w.hashes(a + b)) == neardup.sketch(w.hashes(b + a))).mean()
     assert same < 0.8 and (neardup.sketch(w.hashes(a + b)) == neardup.sketch(w.hashes(a + b))).all()
     assert len(neardup.sketch(w.hashes([]))) == 0 and len(neardup.sketch(w.hashes(["x"]))) == neardup.SKETCHES
+
+
+def chains(seed: int, groups: int, length: int) -> list[tuple[int, str]]:
+    """Texts with one passage in common, in chains of versions: each is like the one before it only. Ids are in random order."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(84)]
+    texts = []
+    for _ in range(groups):
+        own = [word() for _ in range(36)]
+        for _ in range(length):
+            texts.append(" ".join(passage + own))
+            at = rng.randrange(14)
+            own = own[:at] + [word() for _ in range(22)] + own[at + 22 :]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def brute_classes(rows: list[tuple[int, str]]) -> dict[int, int]:
+    own = [(i, np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint32)) for i, t in rows]
+    root = {i: i for i, _ in own}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for at, (i, a) in enumerate(own):
+        for j, b in own[at + 1 :]:
+            if top(i) != top(j) and neardup.similar(a, b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i: top(i) for i in root}
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Links between a node placed with a bucket's pivot and one that is not."""
+    rows = chains(7, 30, 6)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
