@@ -356,12 +356,6 @@ def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def thinned(rows: DataFrame) -> DataFrame:
-    """Of rows(bucket, j, id, comp), each component's least and greatest id in a bucket: its members are linked already."""
-    ends = rows.groupBy("bucket", "j", "comp").agg(F.min("id").alias("x"), F.max("id").alias("y"))
-    return ends.select("bucket", "j", "comp", F.explode(F.array_distinct(F.array("x", "y"))).alias("id"))
-
-
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the least id of the near-duplicate class.
 
@@ -398,8 +392,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
         rows = told(linked)
         pairs = large_pairs(rows, bag, similarity, nearest)
         if nearest:
-            small = told(thinned(linked))
-            pairs = pairs.unionByName(small_pairs(small)).distinct()
+            pairs = pairs.unionByName(small_pairs(rows)).distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         near = near.unionByName(cut(verified(pairs, words, similarity).distinct()))
         done = done.unionByName(pairs)

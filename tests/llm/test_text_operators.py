@@ -264,6 +264,24 @@ def chains(seed: int, groups: int, length: int) -> list[tuple[int, str]]:
     return list(enumerate(texts))
 
 
+def middles(seed: int, groups: int) -> list[tuple[int, str]]:
+    """Groups of a text with four versions near it, of lower and of higher ids, and one further version that is like the first text only."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for g in range(groups):
+        own = [word() for _ in range(200)]
+
+        def version(at, n, own=own):
+            return own[:at] + [word() for _ in range(n)] + own[at + n :]
+
+        texts = [version(160, 10), version(172, 10), own, version(184, 10), version(150, 10)]
+        places = set(rng.sample(range(140), 38))
+        texts.append([word() if i in places else w for i, w in enumerate(own)])
+        rows += [(10 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows
+
+
 def brute_classes(rows: list[tuple[int, str]]) -> dict[int, int]:
     own = [(i, np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint32)) for i, t in rows]
     root = {i: i for i, _ in own}
@@ -286,3 +304,11 @@ def test_large_buckets_lose_no_link(spark):
     rows = chains(7, 30, 6)
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_classes(rows)
+
+
+def test_small_buckets_are_not_thinned(spark):
+    """Texts like a middle member of a class only, not like its least or greatest id."""
+    rows = middles(11, 100)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_classes(rows)
+    assert all(want[10 * g + 5] == 10 * g for g in range(100)) and sum(got[10 * g + 5] == 10 * g for g in range(100)) >= 90
