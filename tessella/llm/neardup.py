@@ -10,6 +10,11 @@ components of the links.
 
 Copies. Texts with the same words are one node from the start, so copies are never paired.
 
+Short texts. Two texts within m edits, of n words the longer, have n - m words in common. With the
+words of each in one order for all texts (rare ones first), they share one of the first m + 1; a
+text of up to SHORT words is put under these too, so no pair of such texts is lost, wherever the
+edits lie.
+
 Buckets. The first FIRST values link most classes: all pairs of a bucket of up to PAIRED nodes, in a
 larger one each node with the bucket's least and greatest. Then every two nodes of unlike classes
 that share any value are looked at. In large buckets, pairs whose lengths or word counts alone ask
@@ -31,15 +36,19 @@ from ..operators.graph import components
 from ..tables import release
 from .common import cut, map_text, table
 
-K = 5
+K = 3
 SIMILARITY = 0.8
-SKETCHES = 40
+SKETCHES = 64
 PICKS = 2
 PAIRED = 6
 #: Rows of a large bucket that are dealt together, and hash values that words are counted by.
 BLOCK, DIMS = 1024, 256
 #: Sketch values that the first links are sought by.
 FIRST = 8
+#: Texts of up to so many words are also sought by words, which finds all their pairs.
+SHORT = 40
+#: Hash values that the words of short texts are counted by.
+COUNTED = 1 << 14
 CACHE_WORDS = 300_000
 CHUNK = 4096
 WORD = re.compile(r"[^\W_]+")
@@ -356,6 +365,39 @@ def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
+def short_buckets(words: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id, j) of words(id, words) of texts of up to SHORT words: two of them that are similar share a bucket, with j = SKETCHES."""
+    short = words.filter(F.length("words") <= 4 * SHORT)
+
+    def count(batches):
+        n = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) % COUNTED, minlength=COUNTED)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["h", "n"])
+
+    # bounded: COUNTED rows. Any order finds all pairs; this one keeps buckets small.
+    often = np.zeros(COUNTED, np.int64)
+    for r in short.select("words").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).collect():
+        often[r["h"]] = r["n"]
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = [], []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.sort(np.frombuffer(x, np.uint32))
+                run = np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), np.arange(len(w)), 0)) if len(w) else w
+                label = (np.arange(len(w)) - run).astype(np.uint64)
+                first = np.lexsort((label, w, often[w % COUNTED]))[: int((1 - similarity) * len(w) + 1e-9) + 1]
+                own = mixed(mixed(w[first].astype(np.uint64) + _GOLD) + label[first] * _GOLD)
+                ids.append(np.full(len(own), i))
+                keys.append(own.view(np.int64))
+            flat = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (keys, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in flat], names=["bucket", "id"])
+
+    return short.mapInArrow(run, "bucket bigint, id bigint").select("bucket", "id", F.lit(SKETCHES).alias("j"))
+
+
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row: class_id is the least id of the near-duplicate class.
 
@@ -373,11 +415,10 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
 
     # Buckets with two nodes or more, and the words of all nodes in one. An id with several texts is several nodes of one id.
     sketched = nodes.filter(F.size("sketch") > 0).select("id", "sketch")
-    buckets = sketched.select("id", F.posexplode("sketch").alias("j", "bucket")).select("bucket", "id", "j")
+    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(sketched.select("id").distinct(), "id", "left_semi")))
+    buckets = sketched.select("id", F.posexplode("sketch").alias("j", "bucket")).select("bucket", "id", "j").unionByName(short_buckets(words, similarity))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
     shared = cut(buckets.join(shared, "bucket").distinct())
-    ids = shared.select("id").distinct()
-    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi")))
 
     # The first values alone link most classes; after that only pairs of unlike classes are looked at.
     first = told(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))

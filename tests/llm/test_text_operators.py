@@ -312,3 +312,22 @@ def test_small_buckets_are_not_thinned(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     want = brute_classes(rows)
     assert all(want[10 * g + 5] == 10 * g for g in range(100)) and sum(got[10 * g + 5] == 10 * g for g in range(100)) >= 90
+
+
+def test_short_texts_and_spread_edits(spark):
+    """Pairs at the threshold, edits evenly spread, by length: all of the short ones, nearly all of the long ones."""
+    rng, rows = random.Random(3), []
+    for n, edits in SPREAD:
+        for _ in range(40):
+            own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            places = {round((i + 0.5) * n / edits) for i in range(edits)}
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(f"x{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(own)))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_classes(rows)
+    for k, (n, _) in enumerate(SPREAD):
+        of = range(80 * k + 1, 80 * k + 80, 2)
+        assert all(want[i] == i - 1 for i in of)
+        assert sum(got[i] == i - 1 for i in of) >= (40 if n <= neardup.SHORT else 36), n
+
+
+SPREAD = [(5, 1), (8, 1), (10, 2), (20, 4), (40, 8), (50, 5), (100, 20), (300, 60)]
