@@ -3,11 +3,11 @@
 Markup is stripped into lines, one a block of the page. Each line has a length: the characters of
 its text that can belong to an article, so 0 for lines of menus, footers, adverts and the like and
 for lines that are all links. Lengths are summed over a sliding window of WINDOW lines. Where the
-sums rise from nothing to SURGE or more the text surges; where they fall back to nothing it dives;
-the lines between the two points that have a length are kept.
+sums rise from nothing the text surges; where they fall back to nothing it dives; the lines between
+the two points that have a length, or are links outside such parts, are kept. No text is too short.
 
-Pages that mark their article (article, main, role=main, itemprop=articleBody) give lines outside
-it no length, and then any text is enough to surge; other pages need SURGE characters a window.
+Of pages that mark their article (article, main, role=main, itemprop=articleBody) the lines in it
+are kept, links too, but for such parts in it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import map_text, table
 
 WINDOW = 3
-SURGE = 80
 
 #: Elements whose text is never shown as text.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video map select datalist textarea button".split())
@@ -34,12 +33,14 @@ BLOCK = frozenset(
 )
 #: Elements without content or end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id or role names that tell such parts, as whole words.
-TELLING = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|advertising|banner|banners|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|consent|contentinfo|cookie|cookies|disqus"
-    r"|footer|gdpr|hidden|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|sidebar|sidebars|signup|social|sponsor"
-    r"|sponsored|subscribe|subscription|tags|toolbar|widget|widgets)(?:$|[\s_-])"
+#: Class, id or role names that tell such parts.
+TELLING = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus "
+    "footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond search share sharing sidebar sidebars signup social sponsor "
+    "sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Words that say only where or what kind of box, and leave a name as telling as its other words make it.
+BOX = frozenset("area bar block bottom box buttons container content form global header inner items left links list main outer page panel posts primary right secondary section site slot top unit wrap wrapper".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -47,6 +48,15 @@ HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def tells(names: str) -> bool:
+    """Whether one of the names is telling as a whole: all its words are, but for those of BOX ("cookie-banner", "site-footer"; not "comment-free")."""
+    for name in names.split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if any(w in TELLING for w in words) and all(w in TELLING or w in BOX or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape((v[1:-1] if v[:1] in "\"'" else v) if v else "") for k, v in reversed(ATTRIBUTE.findall(raw))}
 
@@ -57,14 +67,14 @@ def part(name: str, raw: str) -> tuple[bool, bool]:
     names = " ".join(HUMP.sub("-", told.get(k, "")).lower() for k in ("class", "id", "role"))
     other = name in ASIDE or "hidden" in told or told.get("aria-hidden", "").lower() == "true" or "display:none" in told.get("style", "").replace(" ", "").lower()
     main = name in ("article", "main") or told.get("role", "").lower() == "main" or told.get("itemprop", "").lower() == "articlebody"
-    if name not in ("body", "html") and names.strip() and not other and (not main or name == "article"):
-        other = bool(TELLING.search(names))
+    if name not in ("body", "html") and not other and not main:
+        other = tells(names)
     return other, main and not other
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Text of each line, its characters outside links and outside other parts, and whether it lies in a marked article."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """Text of each line, its characters outside links and outside other parts, whether it lies in a marked article, and whether all of it is links outside other parts."""
+    out: list[tuple[str, int, bool, bool]] = []
     #: Open elements: name, whether other than article, whether article.
     stack: list[tuple[str, bool, bool]] = []
     other = inside = linked = 0
@@ -75,7 +85,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             text = " ".join("".join(w for w, _ in words).split())
             if text:
                 plain = sum(len("".join(w.split())) for w, link in words if not link)
-                out.append((text, 0 if other else plain, inside > 0))
+                out.append((text, 0 if other else plain, inside > 0, not other and not plain))
             words.clear()
 
     def pop():
@@ -138,8 +148,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def between(lengths: np.ndarray, surge: int) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the window sums and have a length."""
+def between(lengths: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Which lines lie between a surge and a dive of the window sums and have a length or are links."""
     n = len(lengths)
     padded = np.concatenate([np.zeros(WINDOW - 1, np.int64), lengths, np.zeros(WINDOW - 1, np.int64)])
     sums = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")  # the windows that end at line 0 ... start at line n - 1
@@ -152,10 +162,9 @@ def between(lengths: np.ndarray, surge: int) -> np.ndarray:
         end = at
         while end < len(sums) and sums[end]:
             end += 1
-        if sums[at:end].max() >= surge:
-            kept[max(at - WINDOW + 1, 0) : end] = True
+        kept[at : end - WINDOW + 1] = True  # the run's first line with a length to its last
         at = end
-    return kept & (lengths > 0)
+    return kept & ((lengths > 0) | links)
 
 
 def main_text(page: str | None) -> str:
@@ -163,9 +172,11 @@ def main_text(page: str | None) -> str:
     own = lines(page or "")
     if not own:
         return ""
-    marked = any(inside and length for _, length, inside in own)
-    lengths = np.array([length if inside or not marked else 0 for _, length, inside in own], np.int64)
-    return "\n".join(own[i][0] for i in np.flatnonzero(between(lengths, 1 if marked else SURGE)))
+    marked = any(inside and (length or links) for _, length, inside, links in own)
+    if marked:  # a line of links is as much the article's as others
+        return "\n".join(text for text, length, inside, links in own if inside and (length or links))
+    lengths, links = np.array([x[1] for x in own], np.int64), np.array([x[3] for x in own], bool)
+    return "\n".join(own[i][0] for i in np.flatnonzero(between(lengths, links)))
 
 
 def extract(df: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -331,3 +331,13 @@ def test_short_texts_and_spread_edits(spark):
 
 
 SPREAD = [(5, 1), (8, 1), (10, 2), (20, 4), (40, 8), (50, 5), (100, 20), (300, 60)]
+
+
+def test_html_drops_nothing_of_the_article():
+    assert html_text.main_text("<nav>n</nav><article><h1><a href=1>Title</a></h1><p>Text.<ul><li><a href=2>One</a></ul></article>") == "Title\nText.\nOne"
+    body = "Some words of a text. " * 6
+    advert = "<div class=ad><p>Buy<p>this<p>now<p>or never</div>"
+    assert html_text.main_text(f"<div><p>{body}<p><a href=1>Source</a><p>More.{advert}<p>The end.</div>") == f"{body.strip()}\nSource\nMore.\nThe end."
+    assert html_text.main_text("<p>Short.") == "Short."
+    assert html_text.main_text("<article class='post related'><p>x</article>") == html_text.main_text("<div class=social-history><p>x</div>") == "x"
+    assert html_text.main_text(f"<p>{body}<div class='site-footer'><p>y</div><div class=adSlot>z</div>") == body.strip()
