@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import schemas
 from tessella.operators import catalog_sync, dupes, people, transfer, vectors
@@ -155,3 +156,17 @@ def test_edits(spark):
     assert dict(rows(undo.select("key", "taken"))) == {"k": "2001-01-01T00:00:00", "l": None}
     with pytest.raises(ValueError):
         edits.apply_dates(over, spark.createDataFrame([("k", "x", None)], "key string, taken string, taken_offset string"), 5)
+
+
+def test_same_photo_numbers_edits_and_turned_copies(spark):
+    cols = "grp bigint, id bigint, folder string, name string, kind string, phash bigint, full_hash string, width int, height int, taken string, size bigint, added_at bigint"
+    made = [("a", "IMG_0001.jpg", 400, 300), ("a", "IMG_0002.jpg", 200, 150), ("a", "IMG_E0001.jpg", 300, 225), ("a", "IMG_0001 (2).heic", 150, 200), ("a", "x.jpg", 300, 400), ("b/out", "y.png", 800, 600)]
+    rows = spark.createDataFrame([(1, i, f, n, "photo", 5, f"h{i}", w, h, None, 10, i) for i, (f, n, w, h) in enumerate(made)], cols)
+    pairs = {(r[0], r[1]) for r in rows.alias("a").join(rows.alias("b"), F.col("a.id") < F.col("b.id")).filter(dupes.same_photo("a", "b")).select("a.id", "b.id").collect()}
+    assert pairs == {(0, 3), (0, 5), (1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)}
+    own = [r for r in rows.toPandas().astype(object).itertuples()]
+    assert {(a.id, b.id) for a in own for b in own if a.id < b.id and dupes.is_same_photo(a, b)} == pairs
+    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows).collect()}
+    assert best == {i: 5 for i in range(6)}
+    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows, ["out"]).collect()}
+    assert best == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 0}
