@@ -42,7 +42,7 @@ SKETCHES = 64
 PICKS = 2
 PAIRED = 6
 #: Rows of a large bucket that are dealt together, and hash values that words are counted by.
-BLOCK, DIMS = 1024, 256
+BLOCK, DIMS = 512, 256
 #: Sketch values that the first links are sought by.
 FIRST = 8
 #: Texts of up to so many words are also sought by words, which finds all their pairs.
@@ -333,28 +333,25 @@ def large_pairs(rows: DataFrame, bag: DataFrame, similarity: float, nearest: boo
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def made(batches: list[pa.RecordBatch], keep_last: bool):
-            t = pa.Table.from_batches(batches).combine_chunks()
-            cells = t.column(0).to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
-            if keep_last:
-                edges = edges[:-1]
+        def made(t: pa.Table, edges: np.ndarray):
             own = [t.column(i).to_numpy() for i in (1, 2, 3, 5)]
-            bag = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, DIMS)
-            found = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 i, c, s, p = (v[lo:hi] for v in own)
                 if (c != c[0]).any():
-                    found.append(block_pairs(i, c, s, bag[lo:hi], p, similarity, nearest))
-            pairs = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in pairs], names=["a", "b"]), t.slice(int(edges[-1])).to_batches() if keep_last else []
+                    bag = np.frombuffer(b"".join(t.column(4).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, DIMS)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in block_pairs(i, c, s, bag, p, similarity, nearest)], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                out, held = made([*held, batch], True)
-                yield out
+                t = pa.Table.from_batches([*held, batch]).combine_chunks()
+                cells = t.column(0).to_numpy()
+                # The last cell may go on in the next batch.
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1]).astype(int)
+                yield from made(t, edges)
+                held = t.slice(int(edges[-1])).to_batches()
         if held:
-            yield made(held, False)[0]
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from made(t, np.array([0, t.num_rows]))
 
     return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
 
