@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..tables import release
 from .common import cut, table, unit_hash
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -75,19 +76,27 @@ def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray]) -> np.
     return w
 
 
-def rake_frames(cells: DataFrame, shares: dict[str, DataFrame], scale: float, total: float, rounds: int = 60) -> DataFrame:
-    """cells(source, lang, topic, tokens) with w, raked over DataFrames: for more cells than the driver takes."""
-    now = cells.withColumn("w", F.lit(float(scale)))
-    for r in range(rounds):
-        before = now
-        for d, s in shares.items():
-            sums = now.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("__now")).join(s, d).select(d, (F.col("share") * scale * total / F.greatest(F.col("__now"), F.lit(1e-300))).alias("__ratio"))
-            now = now.join(sums, d).withColumn("w", F.least(F.lit(1.0), F.col("w") * F.col("__ratio"))).drop("__ratio")
-        now = cut(now)
-        if r % 5 == 4:
-            moved = now.join(before.select(*DIMENSIONS, F.col("w").alias("__w")), list(DIMENSIONS)).agg(F.max(F.abs(F.col("w") - F.col("__w")))).first()[0]
-            if moved is None or moved < TOLERANCE / 10:
-                break
+def rake_frames(cells: DataFrame, shares: dict[str, DataFrame], scale: float, total: float) -> DataFrame:
+    """cells(source, lang, topic, tokens) with w, raked over DataFrames as rake() does: for more cells than the driver takes."""
+    if not total:
+        return cells.withColumn("w", F.lit(1.0))
+    now = cells
+    for _ in range(SHRINKS):
+        now = cells.withColumn("w", F.lit(float(scale)))
+        for r in range(ROUNDS):
+            now = now.withColumn("__off", F.lit(0.0))
+            for d, s in shares.items():
+                want = F.col("share") * scale * total
+                sums = now.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("__now")).join(s, d).select(d, F.abs(F.col("__now") - want).alias("__gap"), (want / F.greatest(F.col("__now"), F.lit(1e-300))).alias("__ratio"))
+                now = now.join(sums, d).withColumn("w", F.least(F.lit(1.0), F.col("w") * F.col("__ratio"))).withColumn("__off", F.greatest("__off", "__gap")).drop("__ratio", "__gap")
+            now = cut(now)
+            off = now.agg(F.max("__off")).first()[0]
+            now = now.drop("__off")
+            if r % 10 == 9:
+                release(now.sparkSession)
+            if off < TOLERANCE * scale * total:
+                return now
+        scale *= SHRINK
     return now
 
 
@@ -113,7 +122,7 @@ def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, targe
                 shares[d] = sums.select(d, "t", (F.pow("t", F.lit(temper[d])) / whole).alias("share"))
             least = shares[d].filter("share > 0").agg(F.min(F.col("t") / (F.col("share") * max(total, 1.0)))).first()[0]
             scale = min(scale, least if least is not None else 1.0)
-            shares[d] = shares[d].select(d, "share")
+            shares[d] = cut(shares[d].select(d, "share"))
         return rake_frames(cells, shares, scale, total), False
     got = sorted(cells.collect())
     tokens = np.array([r["tokens"] for r in got], float)

@@ -191,3 +191,21 @@ def test_pipeline(spark):
         assert got.columns == docs.columns and 0 < got.count() < docs.count(), name
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() < docs.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_mixing_over_frames_has_the_drivers_rounds(spark, monkeypatch):
+    """Equal weights after few rounds, and 1 on tables without tokens."""
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.04)
+    monkeypatch.setattr(mixing, "SHRINK", 0.7)
+    monkeypatch.setattr(mixing, "SHRINKS", 3)
+    counts = [("a", "x", 90), ("a", "y", 5), ("b", "x", 5), ("b", "y", 60)]
+    docs = spark.createDataFrame([(i, "w " * n, s, g, "t") for i, (s, g, n) in enumerate(counts)], "doc_id bigint, text string, source string, lang string, topic string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.45, "y": 0.55}, "topic": {"t": 1.0}}
+    for table, told in ((docs, targets), (docs.withColumn("text", F.lit("")), None)):
+        rows = mixing.weighed(table)
+        (few, a), (many, b) = mixing.probabilities(rows, targets=told), mixing.probabilities(rows, targets=told, max_cells=1)
+        x, y = ({tuple(r[d] for d in mixing.DIMENSIONS): r["w"] for r in f.collect()} for f in (few, many))
+        assert a and not b and x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x)
+        if told is None:
+            assert set(x.values()) == {1.0}
