@@ -12,10 +12,12 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local master (tests) gets a temporary one; on a cluster it is an error."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessella-"))
     return given or sc._jsc.sc().getCheckpointDir().get()
 
