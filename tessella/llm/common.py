@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..tables import checkpoint_dir as use_checkpoint_dir, cut  # noqa: F401
+
 #: An Arrow batch is handed on in slices of about this many bytes of text, so that one batch of very long texts stays small.
 SLICE_BYTES = 4 << 20
 #: Classes that a sample may be drawn by.
@@ -31,21 +32,12 @@ def unit_hash(col: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-        now = sc._jsc.sc().getCheckpointDir()
-    return given or now.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: a lost executor costs no recomputation."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as make it unlike every column's, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,15 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text's words (lower-cased runs of letters and digits) make k-mers of K words, each labelled with
-its occurrence number. Each of SKETCHES hash functions picks the PICKS least labelled k-mers; put
-in the order they have in the text, they are one value of the text's sketch. Two texts agree in a
-value with a chance that falls with their edit distance, as both the k-mers and their order count.
-Texts that agree in a value are candidates; a link is a pair whose word edit distance, found
-by a banded alignment, is at most (1 - SIMILARITY) of the longer text. Classes are the connected
-components of the links.
+A text's words (lower-cased runs of letters and digits) are labelled with their occurrence numbers.
+Each of SKETCHES hash functions picks the PICKS least labelled words (k-mers of K words in general);
+put in the order they have in the text, they are one value of the text's sketch, so a value is five
+words in text order. Two texts agree in a value with a chance that falls with their edit distance,
+as both the words and their order count. Texts that agree in a value are candidates; a link is a
+pair whose word edit distance, found by a banded alignment, is at most (1 - SIMILARITY) of the
+longer text. Classes are the connected components of the links.
+
+One-word k-mers with five picks, not longer k-mers with fewer: an edit spoils one word but K k-mers,
+and the order of five picks tells unlike texts apart as well as the order inside longer k-mers does.
 
 Copies. Texts with the same words are one node from the start, so copies are never paired.
 
@@ -16,11 +19,12 @@ text of up to SHORT words is put under these too, so no pair of such texts is lo
 edits lie.
 
 Buckets. The first FIRST values link most classes: all pairs of a bucket of up to PAIRED nodes, in a
-larger one each node with the bucket's least and greatest. Then every two nodes of unlike classes
-that share any value are looked at. In large buckets, pairs whose lengths or word counts alone ask
-for too many edits are left out, which loses none; a bucket is dealt in blocks of bounded size.
-First each node meets its most promising partner of another class, so that large groups are one
-class when what is left is aligned.
+larger one each node with the least of its part and those with the bucket's least. That is only an
+order of work, no cap: then every two nodes of unlike classes that share any value are compared. In
+large buckets, pairs whose lengths or word counts alone ask for too many edits are left out, which
+loses none. First each node meets its most promising partner of another class, so that large groups
+are one class when what is left is aligned. Large buckets are dealt over tasks by (bucket, part) in
+every step: joins, stars and blocks.
 """
 
 from __future__ import annotations
@@ -34,13 +38,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
 from ..tables import release
-from .common import cut, map_text, table
+from .common import cut, free_name, map_text, table
 
-K = 3
+K = 1
 SIMILARITY = 0.8
 SKETCHES = 64
-PICKS = 2
+PICKS = 5
+#: Buckets of up to so many rows make their pairs in one row, larger ones in blocks.
 PAIRED = 6
+#: A bucket of more than PART rows is dealt over tasks. On tables of more than PART * MOST_LARGE rows it is more than a MOST_LARGE-th
+#: of them, so that there are never more than MOST_LARGE such buckets to tell the tasks.
+PART, MOST_LARGE = 256, 10_000
 #: Rows of a large bucket that are dealt together, and hash values that words are counted by.
 BLOCK, DIMS = 512, 256
 #: Sketch values that the first links are sought by.
@@ -49,6 +57,8 @@ FIRST = 8
 SHORT = 40
 #: Hash values that the words of short texts are counted by.
 COUNTED = 1 << 14
+#: Bytes kept of a word's hash: two words of a pair of texts are taken for one with a chance of about 1 in 10 ** 9.
+WORD_BYTES = 6
 CACHE_WORDS = 300_000
 CHUNK = 4096
 WORD = re.compile(r"[^\W_]+")
@@ -91,33 +101,32 @@ def sketch(h: np.ndarray) -> np.ndarray:
     """The SKETCHES values of a text with the given word hashes; none for a text without a word."""
     if not len(h):
         return np.zeros(0, np.int64)
-    own = kmers(h)
+    own = kmers(h) if K > 1 else h
     order = np.argsort(own, kind="stable")
     run = np.concatenate([[True], own[order][1:] != own[order][:-1]])
     first = np.maximum.accumulate(np.where(run, np.arange(len(own)), 0))
     label = np.empty(len(own), np.uint64)
     label[order] = (np.arange(len(own)) - first).astype(np.uint64)
     labelled = mixed(own + label * _GOLD)
-    rows = np.arange(SKETCHES)
-    most = np.iinfo(np.uint64).max
-    best, place = np.full((SKETCHES, 0), most, np.uint64), np.full((SKETCHES, 0), -1)
+    rows, most = np.arange(SKETCHES), np.iinfo(np.uint64).max
+    picks = min(PICKS, len(own))
+    best, place = np.zeros((SKETCHES, 0), np.uint64), np.zeros((SKETCHES, 0), np.int64)
     for lo in range(0, len(own), CHUNK):
-        values = np.concatenate([best, _odd[:, None] * labelled[lo : lo + CHUNK]], 1)
+        values = _odd[:, None] * labelled[lo : lo + CHUNK]
         least, where = [], []
-        for _ in range(PICKS):
+        for _ in range(min(picks, values.shape[1])):
             i = values.argmin(1)
             least.append(values[rows, i])
-            before = place.shape[1]
-            where.append(np.where(i < before, place[rows, np.minimum(i, before - 1)] if before else -1, i - before + lo))
+            where.append(i + lo)
             values[rows, i] = most
-        if len(own) == 1:
-            where[1:] = [np.full(SKETCHES, -1)] * (PICKS - 1)
-        best, place = np.stack(least, 1), np.stack(where, 1)
-    place = np.sort(place, 1).T
-    cols = rows
-    out = cols.astype(np.uint64)
-    for p in range(PICKS):
-        out = mixed(out * _GOLD + np.where(place[p] >= 0, own[place[p]], np.uint64(p)))
+        best, place = np.concatenate([best, np.stack(least, 1)], 1), np.concatenate([place, np.stack(where, 1)], 1)
+        if lo:
+            kept = np.argsort(best, 1, kind="stable")[:, :picks]
+            best, place = np.take_along_axis(best, kept, 1), np.take_along_axis(place, kept, 1)
+    place.sort(1)
+    out = rows.astype(np.uint64)
+    for p in range(picks):
+        out = mixed(out * _GOLD + own[place[:, p]])
     return out.view(np.int64)
 
 
@@ -207,12 +216,23 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return bounded_distance(back[: len(a)].tolist(), back[len(a) :].tolist(), most) <= most
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Word hashes as numbers of WORD_BYTES bytes."""
+    return np.ascontiguousarray(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
+
+
 def packed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Kept columns with `words`, the text's word hashes as packed 32-bit numbers."""
+    """Kept columns with `words`, the text's word hashes, packed."""
 
     def make():
         words = Words()
-        return lambda texts: {"words": [words.hashes(WORD.findall((t or "").lower())).astype(np.uint32).tobytes() for t in texts]}
+        return lambda texts: {"words": [pack(words.hashes(WORD.findall((t or "").lower()))) for t in texts]}
 
     return map_text(df, make, "words binary", text, keep)
 
@@ -226,17 +246,27 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     def run(batches):
         for batch in batches:
             wa, wb = batch.column(2), batch.column(3)
-            mask = [similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), similarity) for x, y in zip(wa, wb, strict=True)]
+            mask = [similar(unpack(x.as_py()), unpack(y.as_py()), similarity) for x, y in zip(wa, wb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def dealt_join(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows(bucket, id, ...) joined with sizes(bucket, n, ...), with `part`. Buckets of many rows are dealt in parts of about PART rows
+    (more on a bucket beyond PART squared, so that it has as many parts as a part has rows), so that none is one task's work."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(PART), F.sqrt("n"))).cast("int")
+    told = sizes.withColumn("parts", F.when(F.col("n") > max(PART, total / MOST_LARGE), parts).otherwise(1))
+    large = F.broadcast(told.filter("parts > 1").select("bucket", F.col("parts").alias("into")))  # bounded: MOST_LARGE buckets
+    dealt = rows.join(large, "bucket", "left").withColumn("part", F.when(F.col("into").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("into")).cast("int"))).drop("into")
+    return dealt.join(told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["bucket", "part"])
+
+
 def told(rows: DataFrame) -> DataFrame:
-    """rows(bucket, id, comp, ...) of the buckets that hold unlike components, with n, the bucket's rows, and its least and greatest row."""
-    row = F.struct("id", "comp")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"), F.max(row).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    return cut(rows.join(sizes.select("bucket", "n", "least", "most"), "bucket"))
+    """rows(bucket, id, comp, ...) of the buckets that hold unlike components, with n, the bucket's rows, its least row and its part."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "comp")).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return cut(dealt_join(rows, cut(sizes.select("bucket", "n", "least"))))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -251,9 +281,11 @@ def small_pairs(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """In the larger told() buckets the pairs of each row with the bucket's least and greatest."""
+    """In the larger told() buckets the pairs of each row with the least of its part, and of those with the bucket's least."""
     many, row = rows.filter(F.col("n") > PAIRED), F.struct("id", "comp")
-    return ordered(many.select(F.explode(F.array(F.struct(F.col("least").alias("x"), row.alias("y")), F.struct(F.col("most").alias("x"), row.alias("y")))).alias("p")).select("p.x", "p.y"))
+    centres = many.groupBy("bucket", "part").agg(F.min(row).alias("centre"), F.first("least").alias("least"))
+    own = many.join(centres.select("bucket", "part", "centre"), ["bucket", "part"]).select(F.col("centre").alias("x"), row.alias("y"))
+    return ordered(own.unionByName(centres.select(F.col("least").alias("x"), F.col("centre").alias("y"))))
 
 
 def bags(words: DataFrame) -> DataFrame:
@@ -261,8 +293,8 @@ def bags(words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
-            made = [np.minimum(np.bincount(w % DIMS, minlength=DIMS), 255).astype(np.uint8).tobytes() for w in own]
+            own = [unpack(x.as_py()) for x in batch.column(1)]
+            made = [np.minimum(np.bincount((w % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes() for w in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in own], pa.int32()), pa.array(made, pa.binary())], names=["id", "size", "bag"])
 
     return words.select("id", "words").mapInArrow(run, "id bigint, size int, bag binary")
@@ -364,12 +396,12 @@ def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def short_buckets(words: DataFrame, similarity: float) -> DataFrame:
     """(bucket, id, j) of words(id, words) of texts of up to SHORT words: two of them that are similar share a bucket, with j = SKETCHES."""
-    short = words.filter(F.length("words") <= 4 * SHORT)
+    short = words.filter(F.length("words") <= WORD_BYTES * SHORT)
 
     def count(batches):
         n = np.zeros(COUNTED, np.int64)
         for batch in batches:
-            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32) % COUNTED, minlength=COUNTED)
+            n += np.bincount((unpack(b"".join(batch.column(0).to_pylist())) % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["h", "n"])
 
@@ -382,11 +414,11 @@ def short_buckets(words: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             ids, keys = [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = np.sort(np.frombuffer(x, np.uint32))
-                run = np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), np.arange(len(w)), 0)) if len(w) else w
+                w = np.sort(unpack(x))
+                run = np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
                 label = (np.arange(len(w)) - run).astype(np.uint64)
-                first = np.lexsort((label, w, often[w % COUNTED]))[: int((1 - similarity) * len(w) + 1e-9) + 1]
-                own = mixed(mixed(w[first].astype(np.uint64) + _GOLD) + label[first] * _GOLD)
+                first = np.lexsort((label, w, often[(w % np.uint64(COUNTED)).astype(np.int64)]))[: int((1 - similarity) * len(w) + 1e-9) + 1]
+                own = mixed(mixed(w[first] + _GOLD) + label[first] * _GOLD)
                 ids.append(np.full(len(own), i))
                 keys.append(own.view(np.int64))
             flat = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (keys, ids)]
@@ -405,17 +437,19 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = cut(signatures(docs))
     known = signed.filter("doc_id IS NOT NULL AND key IS NOT NULL")
-    nodes = cut(known.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("key", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch")))
+    least = known.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("x"), F.count(F.lit(1)).alias("n"))
+    nodes = cut(least.select("key", "n", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch")))
     # Copies: each id hangs on its key's least id. These links need no check.
-    held = known.select("doc_id", "key").join(nodes.select("key", "id"), "key")
-    links = held.filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    copied = nodes.filter("n > 1").select(F.col("key").alias("bucket"), "n", F.col("id").alias("head"))
+    copies = dealt_join(known.select(F.col("key").alias("bucket"), F.col("doc_id").alias("id")), copied)
+    links = copies.filter("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
 
     # Buckets with two nodes or more, and the words of all nodes in one. An id with several texts is several nodes of one id.
     sketched = nodes.filter(F.size("sketch") > 0).select("id", "sketch")
     words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(sketched.select("id").distinct(), "id", "left_semi")))
     buckets = sketched.select("id", F.posexplode("sketch").alias("j", "bucket")).select("bucket", "id", "j").unionByName(short_buckets(words, similarity))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
-    shared = cut(buckets.join(shared, "bucket").distinct())
+    held = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "n")
+    shared = cut(dealt_join(buckets, cut(held)).select("bucket", "id", "j").distinct())
 
     # The first values alone link most classes; after that only pairs of unlike classes are looked at.
     first = told(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))
@@ -442,12 +476,13 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, all columns: the row of the class's least id (one of its rows, if it
-    has several). Rows with a null id or a null text stay."""
+    """One document of each class, all columns: that of the class's least id. Of rows with the same id
+    and text one is kept; an id with several texts is one document, so its texts all stay. Rows with a
+    null id or a null text stay; an empty table gives no rows."""
     found = classes(docs, similarity=similarity)
-    heads = found.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    heads = found.filter("doc_id = class_id").select(F.col("doc_id").alias(free_name(docs.columns, "head"))).distinct()
+    kept = docs.join(heads, F.col("doc_id").cast("bigint") == F.col(heads.columns[0]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,44 @@ def middles(seed: int, groups: int) -> list[tuple[int, str]]:
     return rows
 
 
+def at_threshold(seed: int, pairs: int, passages: bool) -> list[tuple[int, str]]:
+    """Pairs of similarity 0.80 to 0.85 by words replaced, put in and left out anywhere; with passages that other texts hold too, if told so."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(300)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(60)] for _ in range(3)]
+    rows = []
+    while len(rows) < 2 * pairs:
+        own = [word() for _ in range(rng.randint(50, 300))]
+        if passages:
+            own += rng.choice(shared)
+        other = list(own)
+        for _ in range(int(len(own) * rng.uniform(0.16, 0.21))):
+            at, kind = rng.randrange(len(other)), rng.random()
+            if kind < 0.6:
+                other[at] = word()
+            elif kind < 0.8:
+                other.insert(at, word())
+            else:
+                del other[at]
+        ids = {w: i for i, w in enumerate({*own, *other})}
+        longest = max(len(own), len(other))
+        if 0.80 <= 1 - neardup.bounded_distance([ids[w] for w in own], [ids[w] for w in other], longest) / longest <= 0.85:
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("passages", [False, True])
+def test_neardup_recall_at_the_threshold(spark, passages):
+    """Of pairs of similarity 0.80 to 0.85, 99 in 100 are found; no wrong ones are."""
+    rows = at_threshold(5, 150, passages)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_classes(rows)
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) >= 150 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == i for i in want if want[i] == i)
+
+
 def brute_classes(rows: list[tuple[int, str]]) -> dict[int, int]:
     own = [(i, np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint32)) for i, t in rows]
     root = {i: i for i, _ in own}
