@@ -2,27 +2,32 @@
 
 The merges of a byte-level BPE vocabulary are compiled, one merge gadget after another, into a
 deterministic automaton whose arcs are labelled with tokens and whose paths are exactly the
-token sequences that the merges produce. A text's pre-split words are encoded by walking the
-automaton's table; a sequence of ids is decoded by emitting its arcs' labels.
+token sequences that the merges produce. A text's pre-split words are encoded by table-driven
+transitions, one a byte, and a sequence of ids is decoded by emitting its arcs' labels.
 
 Gadgets. At first one state has an arc to itself for each byte. The state after a token is one
 that depends on the token alone, so an arc v out of the state after u is a pair (u, v). The
 gadget of merge number r, which joins (u, v) into the new token w:
   * cuts the arc v out of the state after u;
   * gives every state that (still) has an arc u an arc w;
-  * lets w lead to what was the state after v before the cut.
-After the last gadget a pair's arc exists or not once and for all. The pairs of 50,000 tokens
-would fill gigabytes, so the compiled table holds the gadgets in order and an arc is read from
-them when a walk first meets its pair, then kept.
+  * adds a state after w, with the arcs that the state after v had before the cut.
+The arcs of 50,000 states would fill gigabytes, so a state's row holds only what its gadget changed:
+the arcs cut from it, with the gadget's number, and a failure link to the state that it is a copy
+of, as of that number; likewise an arc w links to the arc u that it was given beside.
+
+Bytes. Labels are spelled by a second table: the automaton of all labels over bytes, with failure
+links, tells after each byte the longest label that ends there and, from it, the shorter ones. Of
+these exactly one is an arc out of the state that the path had before it, as every prefix of a word
+has exactly one path. So a walk goes forward only; the path is read off from its end.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 import json
 import re
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -41,6 +46,8 @@ LATIN_TEXT = re.compile(f"[\\x00-\\x7f{LATIN}]*")
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Words kept with their tokens in each Python worker: so many of the latest, and as many from before them.
 CACHE_WORDS = 350_000
+#: Arcs kept once read from the tables.
+KEPT_ARCS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,46 +57,109 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Tables:
+    """The compiled automaton as arrays: what is broadcast."""
+
+    #: By state (token): the gadget that added it (0 for a byte), the tail that its failure link leads to, the head that its arcs were given beside.
+    made: np.ndarray
+    tail: np.ndarray
+    head: np.ndarray
+    #: Arcs that were cut, as state * len(made) + arc, and the gadget that did.
+    cut: np.ndarray
+    cut_by: np.ndarray
+    #: Over bytes: transitions as place * 256 + byte and the place they lead to, failure links, and the longest label that ends at a place.
+    step: np.ndarray
+    to: np.ndarray
+    fail: np.ndarray
+    longest: np.ndarray
+    #: By token: the longest shorter label that its label ends with (-1 if none).
+    shorter: np.ndarray
+    labels: list[bytes]
+    special: dict[str, int]
+    #: Whether a word that is a token's label is that token, whatever the merges make of it.
+    whole: bool = False
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + sum(map(len, self.labels))
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        return Automaton(self)
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "automaton"}
+
+
+def build(tokens: dict[bytes, int], merges: list[tuple[int, int, int]], special: dict[str, int], whole: bool = False) -> Tables:
+    """Gadget after gadget. tokens: bytes to id; merges: pairs of ids with the id they make, in order."""
+    n = max([*tokens.values(), *special.values()], default=0) + 1
+    made, tail, head = (np.zeros(n, np.int32) for _ in range(3))
+    cuts: dict[int, int] = {}
+    for r, (u, v, w) in enumerate(merges, 1):
+        if made[w] or u == w or v == w:
+            raise ValueError(f"merge {r} makes a token again")
+        cuts.setdefault(u * n + v, r)
+        made[w], tail[w], head[w] = r, v, u
+    # Only bytes and what merges make are arcs.
+    reached = {b: i for b, i in tokens.items() if len(b) == 1 or made[i]}
+    step: dict[int, int] = {}
+    ends, place_of = [-1], {}
+    parent, letter = [0], [0]
+    for b, i in sorted(reached.items()):
+        at = 0
+        for x in b:
+            after = step.get(at << 8 | x)
+            if after is None:
+                after = step[at << 8 | x] = len(ends)
+                ends.append(-1)
+                parent.append(at)
+                letter.append(x)
+            at = after
+        ends[at], place_of[i] = i, at
+    depth = np.zeros(len(ends), np.int32)
+    for at in range(1, len(ends)):
+        depth[at] = depth[parent[at]] + 1  # a place comes after the one it is reached from
+    fail, longest = [0] * len(ends), list(ends)
+    for at in np.argsort(depth, kind="stable")[1:].tolist():
+        if parent[at]:
+            back = fail[parent[at]]
+            while back and back << 8 | letter[at] not in step:
+                back = fail[back]
+            fail[at] = step.get(back << 8 | letter[at], 0)
+        if longest[at] < 0:
+            longest[at] = longest[fail[at]]
+    shorter = np.full(n, -1, np.int32)
+    for i, at in place_of.items():
+        shorter[i] = longest[fail[at]]
+    labels = [b""] * n
+    for b, i in [*tokens.items(), *((s.encode(), i) for s, i in special.items())]:
+        labels[i] = b
+    ordered = lambda d, kind: (np.fromiter(d, np.int64, len(d)), np.fromiter(d.values(), kind, len(d)))
+    whole32 = lambda x: np.array(x, np.int32)
+    return Tables(made, tail, head, *ordered(cuts, np.int32), *ordered(step, np.int32), whole32(fail), whole32(longest), shorter, labels, special, whole)
+
+
 class Automaton:
-    """Compiled merges. tokens: bytes to id; merges: pairs of ids with the id they make, in order."""
-
-    def __init__(self, tokens: dict[bytes, int], merges: list[tuple[int, int, int]], special: dict[str, int]):
-        self.ids = tokens
-        self.labels = {i: b for b, i in tokens.items()} | {i: s.encode() for s, i in special.items()}
-        self.special = special
-        n = max(self.labels, default=0) + 1
-        self.size = n
-        #: By token: the gadget that made it (0 for a byte), and its two parts.
-        self.made, self.head, self.tail = [0] * n, [0] * n, [0] * n
-        #: By pair: the gadget that cut its arc.
-        self.cut_by: dict[int, int] = {}
-        for r, (u, v, w) in enumerate(merges, 1):
-            if self.made[w] or u == w or v == w:
-                raise ValueError(f"merge {r} makes a token again")
-            self.cut_by.setdefault(u * n + v, r)
-            self.made[w], self.head[w], self.tail[w] = r, u, v
-        #: By a label's first four bytes: the length of the longest such label.
-        self.longest: dict[bytes, int] = {}
-        for b in tokens:
-            self.longest[b[:4]] = max(self.longest.get(b[:4], 3), len(b))
+    """Walks the tables. Words met before are kept with their tokens."""
+
+    def __init__(self, t: Tables):
+        self.tables, self.labels, self.special, self.size = t, t.labels, t.special, len(t.made)
+        self.made, self.tail, self.head, self.fail, self.longest, self.shorter = (x.tolist() for x in (t.made, t.tail, t.head, t.fail, t.longest, t.shorter))
+        self.length = [len(b) for b in t.labels]
+        self.step = dict(zip(t.step.tolist(), t.to.tolist(), strict=True))
+        self.cut_by = dict(zip(t.cut.tolist(), t.cut_by.tolist(), strict=True))
+        self.ids = {b: i for i, b in enumerate(t.labels) if b} if t.whole else {}
         self.arcs: dict[int, bool] = {}
-        split = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+        split = "|".join(map(regex.escape, sorted(t.special, key=len, reverse=True)))
         self.specials = regex.compile(f"({split})") if split else None
         self.words, self.latin = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def arc(self, u: int, v: int) -> bool:
-        """Whether the state after u has an arc v once all gadgets are built."""
-        key = u * self.size + v
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) > 4_000_000:
-                self.arcs.clear()
-            known = self.arcs[key] = self._built(u, v)
-        return known
-
-    def _built(self, u: int, v: int) -> bool:
+        """Whether the state after u has an arc v: its row, then the rows that failure links lead to, each as of a gadget."""
         made, n, until = self.made, self.size, 1 << 60  # gadgets before `until` are built
         while True:
             if self.cut_by.get(u * n + v, until) < until:
@@ -104,35 +174,40 @@ class Automaton:
                 v, until = self.head[v], b + 1
 
     def walk(self, word: bytes) -> tuple[int, ...]:
-        """The one path that spells a word: longest labels first, stepping back from dead ends."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return (whole,)
-        get, arc, longest, n, dead = self.ids.get, self.arc, self.longest, len(word), set()
-        path: list[int] = []
-        ends: list[int] = [0]
-        at, last = 0, -1
-        reach = min(n, longest.get(word[:4], 3))
-        while at < n:
-            while reach > at:
-                t = get(word[at:reach])
-                if t is not None and (last < 0 or arc(last, t)) and reach not in dead:
-                    break
-                reach -= 1
-            if reach > at:
-                path.append(t)
-                ends.append(reach)
-                at, last = reach, t
-                reach = min(n, at + longest.get(word[at : at + 4], 3))
-            else:
-                if not path:
+        """The one path that spells a word: a transition a byte, the arc that ends there, and at the end the path back."""
+        if word in self.ids:
+            return (self.ids[word],)
+        step, fail, longest, shorter, length, arcs, n = self.step, self.fail, self.longest, self.shorter, self.length, self.arcs, self.size
+        if len(arcs) > KEPT_ARCS:
+            arcs.clear()
+        last: list[int] = [-1]
+        place = 0
+        for i, x in enumerate(word, 1):
+            after = step.get(place << 8 | x)
+            while after is None:
+                if not place:
                     raise ValueError("a byte is missing from the vocabulary")
-                # A prefix has one path only, so a position that led nowhere leads nowhere by any other path.
-                dead.add(at)
-                path.pop()
-                reach = ends.pop() - 1
-                at, last = ends[-1], path[-1] if path else -1
-        return tuple(path)
+                place = fail[place]
+                after = step.get(place << 8 | x)
+            place = after
+            t = longest[place]
+            while True:
+                before = last[i - length[t]]
+                if before < 0:
+                    break
+                key = before * n + t
+                there = arcs.get(key)
+                if there is None:
+                    there = arcs[key] = self.arc(before, t)
+                if there:
+                    break
+                t = shorter[t]
+            last.append(t)
+        path, at = [], len(word)
+        while at:
+            path.append(last[at])
+            at -= length[last[at]]
+        return tuple(path[::-1])
 
     def spelled(self, ids) -> bytes:
         """Decode: emit the labels of a path."""
@@ -169,7 +244,7 @@ class Automaton:
         return self.spelled(ids).decode("utf-8", "replace")
 
 
-def compile_automaton(spec: bytes) -> Automaton:
+def compile_tables(spec: bytes) -> Tables:
     """From a tokenizers JSON file of a byte-level BPE."""
     told = json.loads(spec)
     letters = byte_letters()
@@ -181,24 +256,25 @@ def compile_automaton(spec: bytes) -> Automaton:
     for pair in told["model"]["merges"]:
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         merges.append((vocab[a], vocab[b], vocab[a + b]))
-    return Automaton(tokens, merges, special)
+    return build(tokens, merges, special, bool(told["model"].get("ignore_merges")))
 
 
 @lru_cache(maxsize=2)
-def _compiled(digest: str, spec: bytes) -> Automaton:
-    return compile_automaton(spec)
+def compile_automaton(spec: bytes) -> Automaton:
+    return compile_tables(spec).automaton
 
 
 def tokenize(df: DataFrame, spec: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with ids array<int> and decoded string (what the ids decode to).
 
     Null and empty texts have no ids and decode to an empty text. Rows are never merged, so
-    repeated rows stay. spec: bytes of a tokenizers JSON file (about 2 MB; broadcast).
+    repeated rows stay. spec: bytes of a tokenizers JSON file, compiled on the driver; its tables
+    (Tables.nbytes, about 5 MB for 50,000 tokens) are broadcast.
     """
-    sent = df.sparkSession.sparkContext.broadcast((hashlib.sha256(spec).hexdigest(), spec))
+    sent = df.sparkSession.sparkContext.broadcast(compile_automaton(spec).tables)
 
     def make():
-        auto = _compiled(*sent.value)
+        auto = sent.value.automaton
         gc.freeze()  # the table and the kept words hold no cycles; without this, collections walk them again and again
         gc.set_threshold(200_000, 50, 100)
 
@@ -219,11 +295,11 @@ def tokenize(df: DataFrame, spec: bytes, text: str = "text", keep: tuple[str, ..
 
 def decode(df: DataFrame, spec: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with `text`, what an array<int> column decodes to. Null ids: null text."""
-    sent = df.sparkSession.sparkContext.broadcast((hashlib.sha256(spec).hexdigest(), spec))
+    sent = df.sparkSession.sparkContext.broadcast(compile_automaton(spec).tables)
 
     @F.pandas_udf("string")
     def spelled(column):
-        auto = _compiled(*sent.value)
+        auto = sent.value.automaton
         return column.map(lambda x: None if x is None else auto.decode(x)).astype(object)
 
     return df.select(*keep, spelled(F.col(ids)).alias("text"))

@@ -1,6 +1,7 @@
 """The operators on one text each: defined results for null, empty, long, repeated and odd rows, and brute-force comparisons."""
 
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -49,7 +50,7 @@ def test_bpe_small_merges():
     for x, y in merges:
         tokens[(x + y).encode()] = 256 + len(made)
         made.append((tokens[x.encode()], tokens[y.encode()], tokens[(x + y).encode()]))
-    auto = bpe.Automaton(tokens, made, {})
+    auto = bpe.build(tokens, made, {}).automaton
     for n in range(1, 9):
         for k in range(2**n):
             word = "".join("ab"[(k >> i) & 1] for i in range(n))
@@ -71,6 +72,17 @@ def test_bpe_small_merges():
             assert [auto.labels[t].decode() for t in auto.encode(word)] == parts
 
 
+def test_bpe_tables(automaton):
+    """Every gadget is a state with a failure link and a cut arc; the tables are bounded and survive pickling."""
+    t = automaton.tables
+    assert (t.made > 0).sum() == len(t.cut) == t.cut_by.max() and t.nbytes < 16 << 20
+    u, v = divmod(t.cut.tolist()[1000], len(t.made))
+    assert not automaton.arc(u, v) and automaton.arc(u, u) in (True, False)
+    back = pickle.loads(pickle.dumps(t)).automaton
+    long = "".join(chr(97 + i * i % 26) for i in range(50_000))
+    assert back.encode(long) == automaton.encode(long) and back.decode(back.encode(long)) == long
+
+
 def test_bpe_query_digests(spark, sf, library):
     got = bpe.op8_bpe_automaton(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
