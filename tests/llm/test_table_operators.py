@@ -94,14 +94,47 @@ def test_mih_recall_and_order(spark):
 
 
 def test_mih_pigeonhole():
-    codes = np.random.default_rng(1).integers(0, 1 << 16, (400, 4)).astype(np.uint16)
-    codes[50] = codes[0]
-    index = mih.Index(codes)
-    for radius in (0, 5, 20, 31, 64):
-        assert sum(s + 1 for s in mih.shares(radius, 4)) == radius + 1
-        for q in codes[:10]:
-            want = np.flatnonzero(mih.POPCOUNT[codes ^ q].sum(1, dtype=int) <= radius)
-            assert (index.within(q, radius) == want).all()
+    """Every code within the radius is probed, and nothing but buckets within reach."""
+    drawn = np.random.default_rng(1).integers(0, 1 << 16, (600, 4)).astype(np.uint16)
+    drawn[50] = drawn[0]
+    drawn[51:300] = drawn[0] ^ (1 << np.random.default_rng(2).integers(0, 16, (249, 4))).astype(np.uint16)
+    index = mih.Index(drawn)
+    for reach in (0, 1, 3):
+        differ = mih.values_within(reach)
+        for q in drawn[:10]:
+            found, apart = index.probe(q, differ), mih.POPCOUNT[drawn ^ q]
+            assert set(np.flatnonzero(apart.sum(1, dtype=int) <= 4 * (reach + 1) - 1)) <= set(found)
+            assert (found == np.flatnonzero((apart <= reach).any(1))).all()
+
+
+def test_mih_probes_few_rows():
+    """Vectors around centres: at most a fifth of the rows are probed, and nine in ten true neighbours found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(100, 48))[rng.integers(0, 100, 8000)] + 0.9 * rng.normal(size=(8000, 48))
+    codes = mih.learn(x[:3000], float(np.linalg.norm(x, axis=1).max()))
+    index, differ = mih.Index(codes.code(x, False)), mih.values_within(codes.reach)
+    hits = probed = 0
+    for q in range(0, 8000, 160):
+        found = index.probe(codes.code(x[q : q + 1], True)[0], differ)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(found))
+        probed += len(found)
+    assert hits >= 0.9 * 50 * 20 and probed <= 0.2 * 50 * 8000
+
+
+def test_mih_query_is_brute_force(spark, sf):
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids, got = np.array(sorted(x)), {}
+    for r in mih.op3_multi_index_hashing(spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    all_of = np.stack([x[i] for i in ids])
+    hits = 0
+    for q in got:
+        s = all_of @ x[q]
+        s[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert set(got) == {i for i in x if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
 def test_mih_odd_rows(spark):
@@ -109,6 +142,9 @@ def test_mih_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1))
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mih.nearest_vectors(df, nearest=5).collect())
     assert got == [(1, 1, 9, 5.0), (1, 2, 7, 1.0), (7, 1, 9, 5.0), (7, 2, 1, 1.0), (9, 1, 1, 5.0), (9, 2, 7, 5.0)]
+    uneven = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, [1.0, 1.0, 9.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mih.nearest_vectors(uneven, nearest=5).collect())
+    assert got == [(1, 1, 2, 3.0), (1, 2, 3, 3.0), (2, 1, 1, 3.0), (2, 2, 3, 3.0), (3, 1, 1, 3.0), (3, 2, 2, 3.0)]
     assert mih.nearest_vectors(df.limit(0)).count() == 0
 
 
