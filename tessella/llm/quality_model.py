@@ -1,28 +1,28 @@
 """Quality classifier: a hashed linear scorer taught by a weak-label model.
 
-Heuristic labellers that overlap vote on a bounded sample of texts; expectation-maximisation
-estimates their accuracies; the posterior labels teach a logistic scorer over hashed features,
+Heuristic labellers that overlap vote on every text; expectation-maximisation over the vote patterns
+of all texts, counted in one aggregation, estimates how accurate they are. The posterior labels of a
+bounded sample, in which every pattern has a place, teach a logistic scorer over hashed features,
 which then scores every text. No hand-made label is used.
 
-Features: 4-grams of character classes (their shares, square-rooted) and tokens of binned
-structure (repetition, line endings, word lengths), hashed into BUCKETS.
+The scorer does not see the labellers' measures. Its features are 4-grams of character classes and
+pairs of neighbouring words' gaps (how far back the same word stood last), hashed into BUCKETS, each
+valued by the square root of its share.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import labelmodel, textstats
-from .common import bounded_sample, map_text, table
+from .common import cut, free_name, map_text, table, unit_hash
 
-GRAMS = 8**4
-STRUCTURE = 1 << 10
-BUCKETS = GRAMS + STRUCTURE
-#: Texts that the labellers vote on, picked by a hash of the id; all where there are fewer.
+GRAMS, GAPS = 1 << 12, 1 << 10
+BUCKETS = GRAMS + GAPS
+#: Texts that the scorer learns from, about half of them likely bad; all where there are fewer. Every vote pattern has up to LEAST of them.
 SAMPLE = 10_000
+LEAST = 20
 KEEP_FROM = 0.5
 
 
@@ -30,20 +30,22 @@ def _over(value: float, good_to: float, bad_from: float) -> str:
     return labelmodel.GOOD if value <= good_to else labelmodel.BAD if value >= bad_from else labelmodel.ABSTAIN
 
 
-#: Labellers over the measures m of a text with words. They overlap: several see the same defect from another side.
+FAMILIES = ("noise", "shouting", "repetition", "words")
+#: Family, name and vote of each labeller over the measures m of a text with words. Those of a family see the same defect from different sides.
 LABELLERS = (
-    ("symbol_words", lambda m: _over(m["symbols"], 0.02, 0.15)),
-    ("odd_characters", lambda m: _over(m["odd"], 0.06, 0.15)),
-    ("shouted_letters", lambda m: _over(m["upper"], 0.1, 0.35)),
-    ("shouted_marks", lambda m: _over(m["shout"], 0.1, 0.4)),
-    ("repeated_windows", lambda m: _over(m["windows"], 0.05, 0.3)),
-    ("repeated_lines", lambda m: labelmodel.ABSTAIN if 0 < m["dups"] < 3 else _over(m["dup"], 0.1, 0.3)),
-    ("stutter", lambda m: _over(m["stutter"], 0.03, 0.15)),
-    ("few_words", lambda m: labelmodel.ABSTAIN if not 30 <= m["n"] <= 3000 else _over(1 - m["distinct"], 0.5, 0.72)),
-    ("word_length", lambda m: _over(abs(m["length"] - 6.0), 3.0, 6.0)),
+    ("noise", "symbol_words", lambda m: _over(m["symbols"], 0.02, 0.15)),
+    ("noise", "odd_characters", lambda m: _over(m["odd"], 0.03, 0.08)),
+    ("noise", "marked_words", lambda m: _over(m["marked"], 0.03, 0.15)),
+    ("shouting", "shouted_letters", lambda m: _over(m["upper"], 0.1, 0.35)),
+    ("shouting", "shouted_runs", lambda m: _over(m["runs"], 0.05, 0.3)),
+    ("shouting", "shouted_marks", lambda m: _over(m["shouts"], 0.1, 0.4)),
+    ("repetition", "repeated_windows", lambda m: _over(m["windows"], 0.05, 0.3)),
+    ("repetition", "repeated_lines", lambda m: labelmodel.ABSTAIN if 0 < m["dups"] < 3 else _over(m["dup"], 0.1, 0.3)),
+    ("repetition", "stutter", lambda m: _over(m["stutter"], 0.03, 0.12)),
+    ("repetition", "few_words", lambda m: _over(1 - m["distinct"], 0.4, 0.55)),
+    ("words", "word_length", lambda m: _over(abs(m["length"] - 6.0), 3.0, 6.0)),
+    ("words", "letters", lambda m: _over(1 - m["letters"], 0.15, 0.35)),
 )
-#: Measures that become structure tokens, with the step of their bins.
-BINS = (("symbols", 0.1), ("windows", 0.1), ("dup", 0.1), ("stutter", 0.05), ("distinct", 0.1), ("length", 1.5), ("shout", 0.1), ("upper", 0.1))
 
 
 def measures(text: str | None, own: np.ndarray) -> dict | None:
@@ -51,54 +53,47 @@ def measures(text: str | None, own: np.ndarray) -> dict | None:
     c = textstats.counts(text)
     if not c["n_words"]:
         return None
-    n, s = c["n_words"], np.bincount(own, minlength=8)
-    letters = max(s[textstats.UPPER] + s[textstats.LOWER], 1)
+    n, s = c["n_words"], textstats.shares(own)
     return {
-        "n": n,
         "dups": c["n_dup_lines"],
         "symbols": c["n_symbols"] / n,
-        "odd": (s[textstats.SYMBOL] + s[textstats.OTHER]) / max(len(own), 1),
-        "upper": s[textstats.UPPER] / letters,
-        "shout": s[textstats.SHOUT] / n,
+        "odd": s["odd"],
+        "marked": s["marked"] / n,
+        "upper": s["upper"],
+        "runs": s["runs"],
+        "shouts": s["shouts"] / n,
         "windows": c["n_repeat_words"] / n,
         "dup": c["n_dup_lines"] / max(c["n_lines"], 1),
         "stutter": c["n_stutter"] / n,
-        "distinct": c["n_distinct"] / n,
+        "distinct": c["distinct"],
         "length": c["word_chars"] / n,
+        "letters": s["letters"],
     }
 
 
-def structure(m: dict) -> list[int]:
-    return [GRAMS + zlib.crc32(f"{k}:{min(int(m[k] / step), 9)}".encode()) % STRUCTURE for k, step in BINS]
+def votes(text: str | None) -> str | None:
+    """The vote pattern of a text; None where it has no word."""
+    m = measures(text, textstats.classes(text))
+    return "".join(f(m) for _, _, f in LABELLERS) if m else None
 
 
-def features(own: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text."""
+def features(own: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a text, from its character classes and its words' hashes."""
     wide = own.astype(np.int64)
     grams = ((wide[:-3] * 8 + wide[1:-2]) * 8 + wide[2:-1]) * 8 + wide[3:]
-    n = np.bincount(grams, minlength=GRAMS)
-    at = np.flatnonzero(n)
-    extra, times = np.unique(structure(m), return_counts=True)
-    return np.concatenate([at, extra]), np.concatenate([np.sqrt(n[at] / max(len(grams), 1)), 0.5 * times])
+    gap = textstats.gaps(hashes)
+    pairs = ((gap[:-1] * 12 + gap[1:]) * 0x9E3779B1 >> 7) % GAPS
+    at, value = [], []
+    for first, size, kinds in ((0, GRAMS, grams), (GRAMS, GAPS, pairs)):
+        n = np.bincount(kinds, minlength=size)
+        held = np.flatnonzero(n)
+        at.append(first + held)
+        value.append(np.sqrt(n[held] / max(len(kinds), 1)))
+    return np.concatenate(at), np.concatenate(value)
 
 
-def sample_rows(df: DataFrame, bound: int) -> list:
-    """Votes and packed features of the sample's texts, in the order of their ids."""
-    rows = bounded_sample(df.filter("text IS NOT NULL"), "doc_id", bound, "quality")
-
-    def work(texts: list) -> dict:
-        out: dict = {"votes": [], "at": [], "value": []}
-        for t in texts:
-            own = textstats.classes(t)
-            m = measures(t, own)
-            at, value = features(own, m) if m else (np.zeros(0), np.zeros(0))
-            out["votes"].append("".join(f(m) for _, f in LABELLERS) if m else None)
-            out["at"].append(at.astype(np.int16).tobytes())
-            out["value"].append(value.astype(np.float32).tobytes())
-        return out
-
-    got = map_text(rows, lambda: work, "votes string, at binary, value binary").filter("votes IS NOT NULL").collect()
-    return sorted(got, key=lambda r: (str(r["doc_id"]), r["at"], r["value"]))
+def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return features(textstats.classes(text), textstats.word_hashes((text or "").encode("utf-8", "replace").split()))
 
 
 class Scorer:
@@ -107,22 +102,56 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         """The probability that a text is good; 0 for one without a word."""
-        own = textstats.classes(text)
-        m = measures(text, own)
-        if not m:
+        if not text or not text.encode("utf-8", "replace").split():
             return 0.0
-        at, value = features(own, m)
+        at, value = features_of(text)
         return float(1 / (1 + np.exp(-np.clip(self.w0 + self.w[at] @ value, -30, 30))))
 
 
-def fit(df: DataFrame, bound: int = SAMPLE, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, seed: int = 5) -> Scorer:
-    """Fit on about `bound` texts of df(doc_id, text). Without texts every text with a word scores about the model's prior."""
-    rows = sample_rows(df, bound)
-    patterns: dict[str, int] = {}
-    for r in rows:
-        patterns[r["votes"]] = patterns.get(r["votes"], 0) + 1
-    names = sorted(patterns)
-    labels = labelmodel.fit(names, [patterns[p] for p in names])
+def label(df: DataFrame) -> tuple[labelmodel.LabelModel, dict[str, float], DataFrame]:
+    """The label model of all texts, the rate at which each vote pattern is drawn for the sample (at most 1), and (doc_id, votes)."""
+    voted = cut(map_text(df, lambda: lambda texts: {"votes": [votes(t) for t in texts]}, "votes string").filter("votes IS NOT NULL"))
+    rows = sorted(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())  # bounded: 3 ** len(LABELLERS) patterns
+    names, counts = [r["votes"] for r in rows], np.array([r["n"] for r in rows], float)
+    model = labelmodel.fit(names, counts.tolist(), [FAMILIES.index(f) for f, _, _ in LABELLERS])
+    likely = model.posterior(names) >= 0.5
+    rates = {}
+    for side in (True, False):
+        whole = max(counts[likely == side].sum(), 1)
+        for name, n in zip(np.array(names, object)[likely == side], counts[likely == side], strict=True):
+            rates[name] = float(min(1.0, max(SAMPLE / 2 / whole, min(LEAST, SAMPLE / len(names)) / n)))
+    return model, rates, voted
+
+
+def sample_rows(df: DataFrame, rates: dict[str, float], voted: DataFrame) -> list:
+    """Votes and packed features of the sample's texts, in the order of their ids."""
+    if not rates:
+        return []
+    spark = df.sparkSession
+    told = F.broadcast(spark.createDataFrame(list(rates.items()), "votes string, rate double"))  # bounded: 3 ** len(LABELLERS) patterns
+    ids = voted.filter("doc_id IS NOT NULL").join(told, "votes").filter(unit_hash(F.col("doc_id"), "quality") < F.col("rate")).select("doc_id", "votes").distinct()
+    # An id with several texts has several rows; the limit is far above the rates' sum and only keeps a table of one id bounded.
+    ids = F.broadcast(ids.limit(4 * SAMPLE))
+
+    def work(texts: list) -> dict:
+        out: dict = {"at": [], "value": []}
+        for t in texts:
+            at, value = features_of(t)
+            out["at"].append(at.astype(np.int16).tobytes())
+            out["value"].append(value.astype(np.float32).tobytes())
+        return out
+
+    got = map_text(df.join(ids, "doc_id"), lambda: work, "at binary, value binary", keep=("doc_id", "votes")).limit(4 * SAMPLE).collect()
+    return sorted(got, key=lambda r: (str(r["doc_id"]), r["votes"], r["at"], r["value"]))
+
+
+def fit(df: DataFrame, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, seed: int = 5) -> Scorer:
+    """Fit on df(doc_id, text): accuracies on all texts, weights on about SAMPLE of them. Without texts every text with a word scores
+    about the model's prior."""
+    df = df.select("doc_id", "text").filter("text IS NOT NULL")
+    labels, rates, voted = label(df)
+    rows = sample_rows(df, rates, voted)
+    names = sorted(rates)
     target = dict(zip(names, labels.posterior(names), strict=True))
     y = np.array([target[r["votes"]] for r in rows])
     at = [np.frombuffer(r["at"], np.int16).astype(np.int64) for r in rows]
@@ -160,12 +189,13 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ..
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = KEEP_FROM) -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold."""
+    """The documents, all columns, whose score reaches the threshold. Null, empty and wordless texts go; repeated rows are judged alike; an empty table gives no rows."""
     from .stages import with_column
 
-    return with_column(docs, lambda d, keep: score(d, scorer, keep=keep), "score").filter(F.col("__score") >= threshold).drop("__score")
+    made = free_name(docs.columns, "score")
+    return with_column(docs, lambda d, keep: score(d, scorer, keep=keep), "score", made).filter(F.col(made) >= threshold).drop(made)
 
 
 def op10_quality_weaklabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs.select("doc_id", "text"))).select("doc_id", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
+    return score(docs, fit(docs)).select("doc_id", "score", (F.col("score") >= KEEP_FROM).alias("kept"))

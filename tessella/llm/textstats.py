@@ -85,10 +85,50 @@ def counts(text: str | None) -> dict:
         "n_lines": lines,
         "n_dup_lines": dup,
         "n_repeat_words": repeated(hashes),
-        "n_distinct": len(np.unique(hashes)),
+        "distinct": window_distinct(hashes),
         "n_stutter": int((hashes[1:] == hashes[:-1]).sum()),
     }
 
 
+def window_distinct(hashes: np.ndarray, size: int = 50) -> float:
+    """The mean share of distinct words in consecutive windows of so many words, so that a long text is no poorer than a short one; 0 without words."""
+    n = len(hashes)
+    if not n:
+        return 0.0
+    at = np.minimum(np.arange(n) // size, max(n // size - 1, 0))  # what is left over belongs to the last window
+    order = np.lexsort((hashes, at))
+    h, w = hashes[order], at[order]
+    new = np.ones(n, bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    return float((np.bincount(w, new) / np.bincount(w)).mean())
+
+
+def gaps(hashes: np.ndarray) -> np.ndarray:
+    """By word: how far back the same word stood last, as 1 + the whole part of its binary logarithm, at most 11; 0 for a word that is new."""
+    out = np.zeros(len(hashes), np.int64)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    out[order[1:][same]] = np.minimum(1 + np.floor(np.log2(np.diff(order)[same])).astype(np.int64), 11)
+    return out
+
+
+def shares(own: np.ndarray) -> dict:
+    """Shares of a text's classes of characters: letters and odd characters of all but white space, capitals of letters, runs of capitals of
+    letters that follow one, and the number of symbols that end a word."""
+    n = np.bincount(own, minlength=8)
+    letters, full = n[UPPER] + n[LOWER], max(len(own) - n[SPACE], 1)
+    letter = (own == UPPER) | (own == LOWER)
+    upper = own == UPPER
+    ends = np.append(own[1:] == SPACE, True)[: len(own)]
+    return {
+        "letters": letters / full,
+        "odd": (n[SYMBOL] + n[OTHER]) / full,
+        "upper": n[UPPER] / max(letters, 1),
+        "runs": int((upper[1:] & upper[:-1]).sum()) / max(int((letter[1:] & letter[:-1]).sum()), 1),
+        "shouts": int(n[SHOUT]),
+        "marked": int(((own == SYMBOL) & ends).sum()),
+    }
+
+
 def classes(text: str | None) -> np.ndarray:
     return class_table()[np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)]

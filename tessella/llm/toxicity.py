@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_sample, fold, map_text, table
+from .common import bounded_sample, fold, free_name, map_text, table
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -175,10 +175,12 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, whose score is under the threshold."""
+    """The documents, all columns, whose score is under the threshold. Null and empty texts score as the intercept does; repeated rows
+    are judged alike; an empty table gives no rows."""
     from .stages import with_column
 
-    return with_column(docs, lambda d, keep: score(d, model, keep=keep), "score").filter(F.col("__score") < threshold).drop("__score")
+    made = free_name(docs.columns, "score")
+    return with_column(docs, lambda d, keep: score(d, model, keep=keep), "score", made).filter(F.col(made) < threshold).drop(made)
 
 
 def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import pickle
 import random
+import time
 import zlib
 
 import numpy as np
@@ -199,6 +200,63 @@ def test_label_model_finds_accuracies():
     assert all(0 <= a <= 1 for a in model.accuracies()) and len(labelmodel.fit([], []).posterior([])) == 0
 
 
+PLANTED = ((0.02, 0.95), (0.15, 0.90), (0.01, 0.70), (0.03, 0.92), (0.05, 0.85), (0.02, 0.60))
+
+
+def planted(seed: int = 9, n: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Votes of two families of three rules on good texts and two defects; PLANTED: each rule's chance of a bad vote on good texts and on its defect."""
+    rng = np.random.default_rng(seed)
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    chance = np.array([[right if k == 1 + j // 3 else wrong for j, (wrong, right) in enumerate(PLANTED)] for k in range(3)])
+    bad = rng.random((n, 6)) < chance[kind]
+    names, counts = np.unique(["".join("-" if v else "+" for v in row) for row in bad], return_counts=True)
+    return names.tolist(), counts, np.bincount(kind) / n
+
+
+def test_label_model_recovers_planted_chances():
+    names, counts, shares = planted()
+    model = labelmodel.fit(names, counts.tolist(), [0, 0, 0, 1, 1, 1])
+    assert np.abs(model.shares - shares).max() < 0.02 and model.defect.tolist() == [False, True, True]
+    for j, (wrong, right) in enumerate(PLANTED):
+        assert abs(model.chances[0, j, 0] - wrong) < 0.02 and abs(model.chances[1 + j // 3, j, 0] - right) < 0.04
+    least = model.accuracies().argmin()
+    assert least == 1
+
+
+def test_label_model_is_not_all_must_pass():
+    """A bad vote that its family does not share is outvoted; two of a family are not."""
+    names, counts, _ = planted()
+    p = dict(zip(names, labelmodel.fit(names, counts.tolist(), [0, 0, 0, 1, 1, 1]).posterior(names), strict=True))
+    assert min(p["++++++"], p["+-++++"], p["++++-+"]) > 0.9 and max(p["--++++"], p["+++--+"]) < 0.1
+
+
+def test_label_model_without_a_defect():
+    """Where no text has a family's defect its class does not cost good texts."""
+    rng = np.random.default_rng(3)
+    votes = ["".join("0" if rng.random() < 0.3 else "-" if rng.random() < 0.02 else "+" for _ in range(6)) for _ in range(5000)]
+    names, counts = np.unique(votes, return_counts=True)
+    p = labelmodel.fit(names.tolist(), counts.tolist(), [0, 0, 0, 1, 1, 1]).posterior(names.tolist())
+    assert (counts * (p >= 0.5)).sum() >= 0.99 * counts.sum()
+
+
+def test_quality_rules_verdict_is_brute_force(spark):
+    """The query's verdicts are those of EM over all texts' votes; a text with a lone bad vote is kept."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["ar", "bel", "corin", "dathemo", "estalion", "fo", "gurmin"]) + rng.choice("aeiou") + rng.choice(["", "n", "st", "rel"])
+    good = [" ".join(word() for _ in range(80)) for _ in range(400)]
+    titled = [" ".join((rng.choice("bcdfgklm") + rng.choice("aeiou") + rng.choice("nrst")).title() for _ in range(80)) for _ in range(8)]
+    loud = [" ".join(word().upper() + "!!" for _ in range(80)) for _ in range(40)]
+    noisy = [" ".join(word() + rng.choice("#*%") for _ in range(80)) for _ in range(40)]
+    texts = dict(enumerate(good + titled + loud + noisy))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    votes = {i: quality_rules.votes(textstats.counts(t), t) for i, t in texts.items()}
+    names = sorted(set(votes.values()))
+    model = labelmodel.fit(names, [list(votes.values()).count(n) for n in names], [quality_rules.FAMILIES.index(f) for f, _, _ in quality_rules.RULES])
+    p = dict(zip(names, model.posterior(names), strict=True))
+    assert all(got[i] == (p[votes[i]] >= 0.5) for i in texts)
+    assert all("-" in votes[i] and got[i] for i in range(400, 408)) and all(got[i] == (i < 408) for i in texts)
+
+
 def test_quality_model(spark, odd):
     sf = "/root/testdata/sf0.01"
     rows = quality_model.op10_quality_weaklabel(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -223,6 +281,55 @@ def test_html():
     assert html_text.main_text("<article><p>a &lt; b</article><p>" + body) == "a < b"
 
 
+def test_html_surge_and_dive_decide(sf):
+    """Without the two points, text outside the article stays on most pages."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    changed = 0
+    for page in pages:
+        own = html_text.Lines(page).out
+        changed += "\n".join(x.text for x, k in zip(own, html_text.lengths(own), strict=True) if k > 0) != html_text.main_text(page)
+    assert changed > 0.5 * len(pages)
+    length = np.array([4.0, 4, 210, 4, 4, 4, 4, 250, 3, 220, 1])
+    assert np.flatnonzero(html_text.between(length)).tolist() == [2, 7, 8, 9]
+    assert html_text.between(np.zeros(3)).tolist() == [False] * 3 and html_text.between(np.zeros(0)).tolist() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Text.<p><a href=1>Wholly a link</a><p>More.</article>", "Text.\nWholly a link\nMore."),
+        ("<div class='search-tips'><article>T</article></div>", "T"),
+        ("<div class='search'><article>T</article></div><p>Below", "T"),
+        ("<article class='post tags-news'>T</article>", "T"),
+        ('<p class="x>hello</p><p class="y">b</p>', "hello\nb"),
+        ('<div title="a<b>c">x</div>', "x"),
+        ("<form id=f><main><p>Body</p></main></form>", "Body"),
+        ("<form><p>Body only</p></form>", "Body only"),
+        ("<article><p>x<div class=comments><article class=comment>hi</article></div></article>", "x"),
+        ("<b>out<article>in</b> side</article>", "in side"),
+        ("<head><title>t</title><p>No end of the head", "No end of the head"),
+        ("<p>a<select><option>b</select> c<p>after", "a c\nafter"),
+        ("<p>a<svg><title>t</title><text>u</text></svg> b<button>Go</button> c", "a b c"),
+        ("<p>One<map><p>Two", "One\nTwo"),
+        ("<p>a &lt;b&gt; &nbsp;\n c<script>var x='</p>';</script>", "a <b> c"),
+    ],
+)
+def test_html_odd_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear():
+    for made in (lambda n: "<b>" * n + "x</i>" * n, lambda n: "<span class=q>" * n + "x</a></u>" * n, lambda n: '<p class="x>' * n, lambda n: "<div>" * n + "</b></p>" * n):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            html_text.main_text(made(n))
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.5
+
+
 def test_html_query(spark, sf):
     got = html_text.op9_html_lineblocks(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and got.filter("n_chars <> char_length(text)").count() == 0
