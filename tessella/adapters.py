@@ -24,6 +24,16 @@ SELECT doc_id AS id,
   CASE WHEN doc_id % 13 = 3 THEN 1700000000 + doc_id END AS missing_since, CASE WHEN doc_id % 3 <> 1 THEN 1600000000 + (doc_id * 7919) % 1000003 END AS verified_at, 1500000000 + doc_id AS added_at,
   CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 180 - 90 AS DOUBLE) END AS lat, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 360 - 180 AS DOUBLE) END AS lon, doc_id % 101 AS shot_pixels
 FROM documents""",
+    # The same files as pictures, with names that cameras, phones and copying give, and hashes that near copies have in common or nearly so.
+    "pictures": """
+SELECT id, folder, missing_since, added_at, size, full_hash, CASE WHEN id % 16 = 0 THEN 'video' ELSE 'jpeg' END AS kind,
+  CASE id % 12 WHEN 0 THEN 'IMG_' || n || '.jpg' WHEN 1 THEN 'img_e' || n || '.JPG' WHEN 2 THEN 'IMG_' || n || ' (2).jpg' WHEN 3 THEN 'MVIMG_' || n || '.jpg' WHEN 4 THEN '_DSC' || n || '.jpeg' WHEN 5 THEN 'DSC-0' || n || ' copy 2.png'
+    WHEN 6 THEN 'IMG-20250726-WA' || n || '.jpg' WHEN 7 THEN 'IMG 00' || n || ' - Kopie.heic' WHEN 8 THEN 'IMG_' || n || '_1.jpg' WHEN 9 THEN 'holiday.jpg' WHEN 10 THEN 'holiday (another copy).jpg' ELSE 'P' || n || '.tiff' END AS name,
+  CASE id % 4 WHEN 1 THEN 2000 WHEN 2 THEN 3000 ELSE 4000 END AS width, CASE id % 4 WHEN 1 THEN 1500 WHEN 2 THEN 4000 ELSE 3000 END AS height,
+  CASE WHEN id % 3 <> 0 THEN '2015-05-1' || CAST(size % 9 AS STRING) || 'T10:00:0' || CAST(id % 6 AS STRING) END AS taken,
+  hexint(substr(quick_hash, 1, 13)) * 256 + CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 127 ELSE 85 END AS phash
+FROM (SELECT f.*, lpad(CAST(f.size % 7 + 12 AS STRING), 4, '0') AS n FROM files f) x""",
+    "dup_decisions": "SELECT x.id AS a, y.id AS b FROM pictures x JOIN pictures y ON x.size = y.size AND x.folder = y.folder AND x.id < y.id WHERE (x.id + y.id) % 4 = 0",
     # Two drives that hold most contents in common; some files of b lie under other names.
     "drive_files": """
 SELECT 'a' AS drive, f.* FROM files f WHERE id % 5 <> 0
@@ -60,6 +70,8 @@ FROM embeddings WHERE vec_id % 3 = 0""",
     "looked": "SELECT full_hash AS key, max(id % 3) AS model, max(CASE WHEN id % 37 = 1 THEN 'cannot decode' WHEN id % 37 = 2 THEN 'timeout' END) AS error, max(1600000000 + id) AS done_at FROM files WHERE id % 4 <> 3 GROUP BY full_hash",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_HEX = r"\bhexint\(((?:[^()]|\([^()]*\))*)\)"
+_HEX_DUCK = r"CAST('0x' || \1 AS BIGINT)"
 _NAMES = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b")
 
 
@@ -73,7 +85,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = RULES[name]
     parts = {n: load(spark, sf_dir, n) for n in uses(sql)}
-    text = re.sub(r"\bsha\(", "sha2(", sql)
+    text = re.sub(r"\bsha\(", "sha2(", re.sub(_HEX, r"CAST(conv(\1, 16, 10) AS BIGINT)", sql))
     text = re.sub(r"sha2\(((?:[^()]|\([^()]*(?:\([^()]*\)[^()]*)*\))*)\)", r"sha2(\1, 256)", text)
     text = _NAMES.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "}") if m[1] in parts else m[0], text)
     return spark.sql(text, **parts)
@@ -90,7 +102,7 @@ def oracle(sql: str) -> str:
                 order.append(n)
 
     need(sql)
-    ctes = [f"{n} AS ({re.sub(r'sha\(', 'sha256(', RULES[n]).strip()})" for n in order]
+    ctes = [f"{n} AS ({re.sub(r'sha\(', 'sha256(', re.sub(_HEX, _HEX_DUCK, RULES[n])).strip()})" for n in order]
     body = sql.strip()
     recursive = body.upper().startswith("WITH RECURSIVE")
     if body.upper().startswith("WITH"):

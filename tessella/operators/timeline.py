@@ -9,9 +9,18 @@ from ..tables import small
 
 EVENT = r"^(\d{4}|\d{2})[-.]?(0[1-9]|1[0-2])(?:([-_. ])(.*))?$"
 MOST_CLIP_MS = 6000
-#: Sizes of screens, and words in the names of pictures of them.
-SCREENS = ((1170, 2532), (1080, 1920), (1125, 2436), (750, 1334), (1440, 2560), (1440, 3040), (1080, 2340), (1920, 1080), (2560, 1440), (1366, 768), (3840, 2160), (2532, 1170))
-SHOT_WORDS = ("screenshot", "screen shot", "bildschirmfoto", "screen_shot")
+#: Sizes of the displays of phones, tablets and computers, either way round, and words in the names of pictures of them.
+SCREENS = (
+    (640, 960), (640, 1136), (750, 1334), (828, 1792), (1080, 1920), (1125, 2436), (1170, 2532), (1179, 2556),
+    (1206, 2622), (1242, 2208), (1242, 2688), (1284, 2778), (1290, 2796), (1320, 2868),
+    (720, 1280), (720, 1600), (1080, 2160), (1080, 2240), (1080, 2340), (1080, 2400), (1080, 2412),
+    (1344, 2992), (1440, 2960), (1440, 3040), (1440, 3120), (1440, 3200),
+    (1488, 2266), (1536, 2048), (1620, 2160), (1640, 2360), (1668, 2388), (2048, 2732),
+    (1280, 800), (1366, 768), (1440, 900), (1536, 864), (1680, 1050), (1920, 1080), (1920, 1200),
+    (2560, 1440), (2560, 1600), (2560, 1664), (2880, 1800), (2880, 1864), (3024, 1964),
+    (3440, 1440), (3456, 2234), (3840, 2160), (5120, 2880),
+)
+SHOT_WORDS = ("screenshot", "screen shot", "screen-shot", "screen_shot", "bildschirmfoto", "bildschirmaufnahme", "bildschirmkopie")
 SHOT_FROM = 60
 
 

@@ -164,9 +164,36 @@ def test_same_photo_numbers_edits_and_turned_copies(spark):
     rows = spark.createDataFrame([(1, i, f, n, "photo", 5, f"h{i}", w, h, None, 10, i) for i, (f, n, w, h) in enumerate(made)], cols)
     pairs = {(r[0], r[1]) for r in rows.alias("a").join(rows.alias("b"), F.col("a.id") < F.col("b.id")).filter(dupes.same_photo("a", "b")).select("a.id", "b.id").collect()}
     assert pairs == {(0, 3), (0, 5), (1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)}
-    own = [r for r in rows.toPandas().astype(object).itertuples()]
-    assert {(a.id, b.id) for a in own for b in own if a.id < b.id and dupes.is_same_photo(a, b)} == pairs
-    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows).collect()}
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows, none).collect()}
     assert best == {i: 5 for i in range(6)}
-    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows, ["out"]).collect()}
+    best = {r["id"]: r["photo"] for r in dupes.photo_rows(rows, none, ["out"]).collect()}
     assert best == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4, 5: 0}
+
+
+def test_camera_and_copy_names(spark):
+    told = {
+        "IMG_6621.HEIC": ("img", False, 6621), "IMG_E6621.HEIC": ("img", True, 6621), "_DSC0012.jpg": ("dsc", False, 12), "MVIMG_0012 (2).jpg": ("mvimg", False, 12), "img 0012 - Copy.jpg": ("img", False, 12),
+        "DSC-E123.jpg": ("dsc", True, 123), "IMG-20250726-WA0001.jpg": None, "PXL_20250101_120000123.jpg": None, "IMGX0012.jpg": None, "MVI_0012.jpg": None, "P123.tif": ("p", False, 123), "img_12.jpg": None,
+    }
+    names = spark.createDataFrame([(n,) for n in told], "name string")
+    got = {r["name"]: r["c"] and tuple(r["c"]) for r in names.select("name", dupes.camera_name(F.col("name")).alias("c")).collect()}
+    assert got == told
+    own = ["x.jpg", "x - Copy.jpg", "x - Kopie (2).jpg", "x copy 2.jpg", "x (1).jpg", "x(1).jpg", "x (another copy).jpg", "x (3rd copy).png", "x (Ann's conflicted copy 2024-01-01).jpg", "x-1.jpg", "x_2.jpg", "x 2.jpg", "x копия.jpg", "y copy.jpg", "x3.jpg", "(copy).jpg"]
+    copied = dupes.copy_named(spark.createDataFrame([(1, i, n) for i, n in enumerate(own)], "grp int, id int, name string"))
+    assert sorted(own[r["id"]] for r in copied.collect()) == sorted(own[1:13])
+
+
+def test_open_pairs_with_decisions(spark):
+    """Components are those of all undecided pairs, also where a decision names the least of a class."""
+    files = spark.createDataFrame([(i, None, f"h{i}", "f", f"n{i}.jpg", 7) for i in range(1, 6)], "id bigint, missing_since bigint, full_hash string, folder string, name string, phash bigint")
+    for decided in ([(1, 2)], [(1, 2), (1, 3), (1, 4), (1, 5)], [(1, 2), (3, 4), (1, 5)], [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]):
+        got = {r["id"]: r["grp"] for r in dupes.groups(dupes.open_pairs(files, spark.createDataFrame(decided, "a bigint, b bigint"))).collect()}
+        root = {i: i for i in range(1, 6)}
+        for _ in range(5):
+            for a in range(1, 6):
+                for b in range(a + 1, 6):
+                    if (a, b) not in decided:
+                        root[a] = root[b] = min(root[a], root[b])
+        size = list(root.values())
+        assert got == {i: g for i, g in root.items() if size.count(g) > 1}
