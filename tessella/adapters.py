@@ -26,14 +26,14 @@ SELECT doc_id AS id,
 FROM documents""",
     # The same files as pictures, with names that cameras, phones and copying give, and hashes that near copies have in common or nearly so.
     "pictures": """
-SELECT id, folder, missing_since, added_at, size, full_hash, CASE WHEN id % 16 = 0 THEN 'video' ELSE 'jpeg' END AS kind,
+SELECT id, 'roll ' || substr(look, 1, 1) || CASE WHEN id % 7 = 3 THEN '/src3' ELSE '' END AS folder, missing_since, added_at, size, full_hash, CASE WHEN id % 16 = 0 THEN 'video' ELSE 'jpeg' END AS kind,
   CASE id % 12 WHEN 0 THEN 'IMG_' || n || '.jpg' WHEN 1 THEN 'img_e' || n || '.JPG' WHEN 2 THEN 'IMG_' || n || ' (2).jpg' WHEN 3 THEN 'MVIMG_' || n || '.jpg' WHEN 4 THEN '_DSC' || n || '.jpeg' WHEN 5 THEN 'DSC-0' || n || ' copy 2.png'
     WHEN 6 THEN 'IMG-20250726-WA' || n || '.jpg' WHEN 7 THEN 'IMG 00' || n || ' - Kopie.heic' WHEN 8 THEN 'IMG_' || n || '_1.jpg' WHEN 9 THEN 'holiday.jpg' WHEN 10 THEN 'holiday (another copy).jpg' ELSE 'P' || n || '.tiff' END AS name,
   CASE id % 4 WHEN 1 THEN 2000 WHEN 2 THEN 3000 ELSE 4000 END AS width, CASE id % 4 WHEN 1 THEN 1500 WHEN 2 THEN 4000 ELSE 3000 END AS height,
-  CASE WHEN id % 3 <> 0 THEN '2015-05-1' || CAST(size % 9 AS STRING) || 'T10:00:0' || CAST(id % 6 AS STRING) END AS taken,
-  hexint(substr(quick_hash, 1, 13)) * 256 + CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 127 ELSE 85 END AS phash
-FROM (SELECT f.*, lpad(CAST(f.size % 7 + 12 AS STRING), 4, '0') AS n FROM files f) x""",
-    "dup_decisions": "SELECT x.id AS a, y.id AS b FROM pictures x JOIN pictures y ON x.size = y.size AND x.folder = y.folder AND x.id < y.id WHERE (x.id + y.id) % 4 = 0",
+  CASE WHEN id % 3 <> 0 THEN '2015-05-1' || CAST(hexint(substr(look, 2, 1)) % 9 AS STRING) || 'T10:00:0' || CAST(id % 6 AS STRING) END AS taken,
+  hexint(substr(look, 1, 13)) * 256 + CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 127 ELSE 85 END AS phash
+FROM (SELECT f.*, sha(substr(d.text, 1, 40)) AS look, lpad(CAST(hexint(substr(sha(substr(d.text, 1, 40)), 20, 1)) + 12 AS STRING), 4, '0') AS n FROM files f JOIN documents d ON d.doc_id = f.id) x""",
+    "dup_decisions": "SELECT x.id AS a, y.id AS b FROM pictures x JOIN pictures y ON x.phash = y.phash AND x.id < y.id WHERE (x.id + y.id) % 4 = 0",
     # Two drives that hold most contents in common; some files of b lie under other names.
     "drive_files": """
 SELECT 'a' AS drive, f.* FROM files f WHERE id % 5 <> 0
@@ -55,22 +55,23 @@ UNION ALL SELECT id AS file_id, 'en' AS name, 'user' AS source, 1620000000 + id
     "jobs": "SELECT event_id AS id, event_type AS kind, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'done' END AS state, user_id % 7 AS space, 1600000000 + event_id * 30 AS updated_at FROM events",
     # Faces: a box in each content's picture, with its embedding.
     "faces": """
-SELECT vec_id AS id, vec_id % 120 AS key, embedding, label,
+SELECT vec_id AS id, vec_id - vec_id % 8 AS key, embedding, label,
   (vec_id % 7) / 10.0 AS x, (vec_id % 5) / 10.0 AS y, 0.1 + (vec_id % 4) / 20.0 AS w, 0.1 + (vec_id % 3) / 20.0 AS h, 100 + vec_id % 900 AS px, CASE WHEN vec_id % 11 = 0 THEN 'cat' WHEN vec_id % 13 = 0 THEN 'dog' ELSE 'person' END AS species, (vec_id % 100) / 100.0 AS score
 FROM embeddings""",
     "decisions": """
-SELECT vec_id AS id, vec_id % 120 AS key, (vec_id % 7) / 10.0 + 0.01 AS x, (vec_id % 5) / 10.0 + 0.01 AS y, 0.1 + (vec_id % 4) / 20.0 AS w, 0.1 + (vec_id % 3) / 20.0 AS h, label AS person_id,
+SELECT vec_id AS id, vec_id - vec_id % 8 AS key, (vec_id % 7) / 10.0 + 0.01 AS x, (vec_id % 5) / 10.0 + 0.01 AS y, 0.1 + (vec_id % 4) / 20.0 AS w, 0.1 + (vec_id % 3) / 20.0 AS h, label AS person_id,
   CASE WHEN vec_id % 10 = 6 THEN 'rejected' WHEN vec_id % 10 = 9 THEN 'ignored' ELSE 'confirmed' END AS decision, 1600000000 + (vec_id * 7919) % 5003 AS at, CASE WHEN vec_id % 21 = 0 THEN 'cat' END AS species, vec_id % 30 = 0 AS manual
 FROM embeddings WHERE vec_id % 3 = 0""",
+    "clusters": "SELECT id, label * 3 + id % 3 AS cluster, species, CASE WHEN id % 4 <> 0 THEN score END AS sim, label AS person_id FROM faces",
     "people": "SELECT DISTINCT label AS id, 'Person ' || CAST(label AS STRING) AS name, CASE WHEN label % 3 = 0 THEN NULL ELSE label % 3 END AS group_id, label = 7 AS hidden FROM embeddings",
-    "drive_people": "SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS drive, CASE WHEN vec_id % 4 < 2 THEN 'Person ' ELSE 'PERSON ' END || CAST(label AS STRING) AS name, count(*) AS faces, count(DISTINCT vec_id % 120) AS photos, min(label % 5) = 0 AS hidden, CAST(min(label % 3) AS INT) AS grp FROM embeddings GROUP BY 1, 2",
+    "drive_people": "SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS drive, CASE WHEN vec_id % 4 < 2 THEN 'Person ' ELSE 'PERSON ' END || CAST(label AS STRING) AS name, count(*) AS faces, count(DISTINCT vec_id - vec_id % 8) AS photos, min(label % 5) = 0 AS hidden, CAST(min(label % 3) AS INT) AS grp FROM embeddings GROUP BY 1, 2",
     "phashes": "SELECT vec_id AS id, embedding FROM embeddings",
     "text_lines": "SELECT conv_id * 1000 + turn AS id, conv_id AS key, CAST(turn AS DOUBLE) AS y, CAST(turn % 3 AS DOUBLE) AS x, text, (conv_id * 7 + turn * 13) % 100 / 100.0 AS score, 0.002 + (conv_id + turn) % 20 / 1000.0 AS h FROM conversations WHERE text IS NOT NULL",
     "places": "SELECT n_nationkey AS id, n_name AS name, CAST(-90 + n_nationkey * 5 AS DOUBLE) AS south, CAST(-60 + n_nationkey * 5 AS DOUBLE) AS north, CAST(-180 + n_nationkey * 10 AS DOUBLE) AS west, CAST(-100 + n_nationkey * 10 AS DOUBLE) AS east FROM nation",
     "looked": "SELECT full_hash AS key, max(id % 3) AS model, max(CASE WHEN id % 37 = 1 THEN 'cannot decode' WHEN id % 37 = 2 THEN 'timeout' END) AS error, max(1600000000 + id) AS done_at FROM files WHERE id % 4 <> 3 GROUP BY full_hash",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_HEX = r"\bhexint\(((?:[^()]|\([^()]*\))*)\)"
+_HEX = r"\bhexint\(((?:[^()]|\((?:[^()]|\([^()]*(?:\([^()]*\)[^()]*)*\))*\))*)\)"
 _HEX_DUCK = r"CAST('0x' || \1 AS BIGINT)"
 _NAMES = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b")
 

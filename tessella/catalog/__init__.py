@@ -7,8 +7,8 @@ tessella.adapters shapes the logical tables out of them.
 from __future__ import annotations
 
 from ..adapters import oracle
-from . import changes, copies, people, shown, stores
+from . import changes, copies, people, reads, shown, stores
 
-_PARTS = (stores, shown, changes, copies, people)
+_PARTS = (stores, shown, changes, copies, people, reads)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: oracle(sql) for part in _PARTS for k, sql in part.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,16 +16,23 @@ def reconcile(index: DataFrame, found: DataFrame) -> DataFrame:
     """(path, id, change) for every path that the index or the walk has.
 
     index(id, path, size, mtime_ns, quick_hash, missing_since), found(path, size, mtime_ns, quick_hash). Changes: unchanged, tz_shifted
-    (same content, time off by a time zone), changed, reappeared, added, missing, gone (was missing before).
+    (same content, time off by a time zone), changed, reappeared, added, missing, gone (was missing before), renamed_unicode (as it was,
+    under a path of the same letters in another composed form). found's paths are composed (path_nfc, else path); with raw_path, the
+    path as it is on the drive, and index's raw_path, the form that was read last, a change of form is told.
     """
-    a = index.select("path", "id", *[F.col(c).alias(f"i_{c}") for c in ("size", "mtime_ns", "quick_hash", "missing_since")])
-    b = found.select("path", *[F.col(c).alias(f"f_{c}") for c in ("size", "mtime_ns", "quick_hash")], F.lit(True).alias("__f"))
+    has_form = "raw_path" in index.columns and "raw_path" in found.columns
+    form = F.col("i_raw") != F.col("f_raw") if has_form else F.lit(False)
+    index = index.withColumn("i_raw", F.col("raw_path") if has_form else F.lit(None).cast("string"))
+    found = found.withColumn("f_raw", F.col("raw_path") if has_form else F.lit(None).cast("string"))
+    a = index.select("path", "id", "i_raw", *[F.col(c).alias(f"i_{c}") for c in ("size", "mtime_ns", "quick_hash", "missing_since")])
+    b = found.select("path", "f_raw", *[F.col(c).alias(f"f_{c}") for c in ("size", "mtime_ns", "quick_hash")], F.lit(True).alias("__f"))
     same = (F.col("i_size") == F.col("f_size")) & (F.col("i_mtime_ns") == F.col("f_mtime_ns"))
     shifted = (F.col("i_quick_hash") == F.col("f_quick_hash")) & (F.col("i_size") == F.col("f_size")) & dates.is_tz_shift(F.col("f_mtime_ns") - F.col("i_mtime_ns"))
     change = (
         F.when(F.col("id").isNull(), "added")
         .when(F.col("__f").isNull(), F.when(F.col("i_missing_since").isNull(), "missing").otherwise("gone"))
         .when(F.col("i_missing_since").isNotNull(), "reappeared")
+        .when(same & F.coalesce(form, F.lit(False)), "renamed_unicode")
         .when(same, "unchanged")
         .when(shifted, "tz_shifted")
         .otherwise("changed")
@@ -35,25 +44,39 @@ def match_moves(index: DataFrame, changes: DataFrame, found: DataFrame) -> DataF
     """(path, id): new paths that are vanished records under another name; each record and path is used once.
 
     Candidates agree in size and quick hash; preferred are records with the same name, then those with the same time, then the least
-    id. Paths choose in their order. A size and hash is one group; its rows are the copies of one content, and only those that vanished
-    or are new, so they are handed to one function in order.
+    id. One that agrees in name and time is taken as it is; of others the full hash must agree where both sides have it. Paths choose in
+    their order. A size and hash is one group; its rows are the copies of one content, and only those that vanished or are new, so they
+    are handed to one function in order.
     """
-    gone = index.join(changes.filter("change IN ('missing', 'gone')").select("id"), "id", "left_semi").select("size", "quick_hash", "id", "path", "mtime_ns", F.lit(0).alias("side"))
-    new = found.join(changes.filter("change = 'added'").select("path"), "path", "left_semi").select("size", "quick_hash", F.lit(None).cast("bigint").alias("id"), "path", "mtime_ns", F.lit(1).alias("side"))
+    full = lambda rows: F.col("full_hash") if "full_hash" in rows.columns else F.lit(None).cast("string")
+    gone = index.join(changes.filter("change IN ('missing', 'gone')").select("id"), "id", "left_semi").select("size", "quick_hash", "id", "path", "mtime_ns", full(index).alias("full"), F.lit(0).alias("side"))
+    new = found.join(changes.filter("change = 'added'").select("path"), "path", "left_semi").select("size", "quick_hash", F.lit(None).cast("bigint").alias("id"), "path", "mtime_ns", full(found).alias("full"), F.lit(1).alias("side"))
     both = gone.unionByName(new)
     # Only keys with both sides can match.
     keys = both.groupBy("size", "quick_hash").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo <> hi").select("size", "quick_hash")
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        records = {r.id: (r.path.rsplit("/", 1)[-1], r.mtime_ns) for r in rows[rows.side == 0].sort_values("id").itertuples()}
-        out = []
+        told = {int(r.id): (r.path.rsplit("/", 1)[-1], r.mtime_ns, r.full) for r in rows[rows.side == 0].sort_values("id").itertuples()}
+        # Records in order of their ids: by name and time, by name, by time, all. Used ones are passed over once.
+        lists: dict = {}
+        for i, (name, at, _) in told.items():
+            for key in ((name, at), ("name", name), ("time", at), "all"):
+                lists.setdefault(key, deque()).append(i)
+        out, used = [], set()
         for p in rows[rows.side == 1].sort_values("path").itertuples():
-            if not records:
-                break
             name = p.path.rsplit("/", 1)[-1]
-            best = min(records, key=lambda i: (records[i][0] != name, records[i][1] != p.mtime_ns, i))
-            out.append((p.path, int(best)))
-            del records[best]
+            best = None
+            for key in ((name, p.mtime_ns), ("name", name), ("time", p.mtime_ns), "all"):
+                own = lists.get(key, ())
+                while own and own[0] in used:
+                    own.popleft()
+                plain = key == (name, p.mtime_ns)
+                best = next((i for i in own if i not in used and (plain or told[i][2] is None or p.full is None or told[i][2] == p.full)), None)
+                if best is not None:
+                    break
+            if best is not None:
+                used.add(best)
+                out.append((p.path, best))
         return pd.DataFrame(out, columns=["path", "id"]).astype({"path": object, "id": "int64"})
 
     return both.join(keys, ["size", "quick_hash"], "left_semi").groupBy("size", "quick_hash").applyInPandas(assign, "path string, id bigint")

@@ -30,7 +30,8 @@ def stream_triggers(events: DataFrame, quiet: int = QUIET_S, soon: int = SOON_S,
     soon waits `soon` seconds; now fires at once; left fires only if something is pending."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (pending,) = state.get if state.exists else (0,)
+        pending, until = state.get if state.exists else (0, 0)
+        now = state.getCurrentProcessingTimeMs()
         fired: list[tuple] = []
         if state.hasTimedOut:
             if pending:
@@ -51,14 +52,18 @@ def stream_triggers(events: DataFrame, quiet: int = QUIET_S, soon: int = SOON_S,
                     elif what == "soon":
                         pending, wait = max(pending, 1), min(wait, soon)
             if pending:
-                state.update((pending,))
-                state.setTimeoutDuration(wait * 1000)
+                # A soon that is waited for is not put off by what comes after it.
+                due = now + wait * 1000
+                if until > now:
+                    due = min(due, until)
+                state.update((pending, due if wait == soon or until > now else 0))
+                state.setTimeoutDuration(max(due - now, 1))
             elif state.exists:
                 state.remove()
         if fired:
             yield pd.DataFrame(fired, columns=["drive", "reason", "n"]).astype({"drive": object, "reason": object})
 
-    return events.groupBy("drive").applyInPandasWithState(step, "drive string, reason string, n int", "pending int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("drive").applyInPandasWithState(step, "drive string, reason string, n int", "pending int, until bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def resumable(source: DataFrame, work, target: str, checkpoint: str):

@@ -59,7 +59,7 @@ def test_agglomerate_keeps_labels_apart_and_splits():
     edges = [(1.0, i, i + 1) for i in range(5)]
     parts = vectors.agglomerate(list(range(6)), v, edges, {0: 1, 5: 2}, 0.5)
     assert not any(0 in p and 5 in p for p in parts) and sorted(x for p in parts for x in p) == list(range(6))
-    assert max(map(len, vectors.split(list(range(6)), v, edges, {}, 0.5, 0.99, most=2))) <= 2
+    assert max(map(len, vectors.split(list(range(6)), edges, 0.99, most=2))) <= 2
 
 
 def test_clusters(spark):
@@ -197,3 +197,71 @@ def test_open_pairs_with_decisions(spark):
                         root[a] = root[b] = min(root[a], root[b])
         size = list(root.values())
         assert got == {i: g for i, g in root.items() if size.count(g) > 1}
+
+
+def test_split_unites_plainly():
+    edges = [(0.9, i, i + 1) for i in range(0, 9)] + [(0.95, 0, 1), (0.95, 1, 2)]
+    assert sorted(map(sorted, vectors.split(list(range(10)), edges, 0.89, most=4))) == [[0, 1, 2], *[[i] for i in range(3, 10)]]
+
+
+def test_picture_hash(spark):
+    rng = np.random.default_rng(0)
+    grey = rng.random((32, 32))
+    h = vectors.picture_hash(grey)
+    assert -(2**63) <= h < 2**63 and bin((h ^ vectors.picture_hash(grey * 0.9 + 0.01)) & (2**64 - 1)).count("1") <= 2
+    # A bright left half: the lowest horizontal frequency, the second lowest bit, is set.
+    assert vectors.picture_hash(np.tile(np.r_[np.ones(16), np.zeros(16)], (32, 1))) & 2
+    got = vectors.picture_hashes(spark.createDataFrame([(1, grey.ravel().tolist()), (2, None), (3, [1.0])], "id int, grey array<double>")).orderBy("id").collect()
+    assert [(r["phash"], r["flat"]) for r in got] == [(h, vectors.flatness(grey)), (None, None), (None, None)]
+
+
+def test_moves_with_full_hashes_and_forms(spark):
+    index = spark.createDataFrame([(1, "a/x.jpg", "a/x.jpg", 5, 10, "q", "f1", None), (2, "a/y.jpg", "a/y.jpg", 5, 20, "q", "f2", None), (3, "b/o\u0308.jpg", "b/\u00f6.jpg", 7, 1, "r", None, None)], "id bigint, raw_path string, path string, size bigint, mtime_ns bigint, quick_hash string, full_hash string, missing_since bigint")
+    found = spark.createDataFrame([("c/new.jpg", "c/new.jpg", 5, 99, "q", "f2"), ("c/y.jpg", "c/y.jpg", 5, 20, "q", "other"), ("b/\u00f6.jpg", "b/\u00f6.jpg", 7, 1, "r", None)], "raw_path string, path string, size bigint, mtime_ns bigint, quick_hash string, full_hash string")
+    changes = catalog_sync.reconcile(index, found)
+    assert dict(rows(changes.select("path", "change")))["b/\u00f6.jpg"] == "renamed_unicode"
+    # The first path takes the record of its full hash; the second, plain by name and time, then has only one that its full hash forbids.
+    assert rows(catalog_sync.match_moves(index, changes, found)) == [("c/new.jpg", 2)]
+
+
+def test_trash(spark):
+    from tessella.operators import removal
+
+    files = spark.createDataFrame([(1, "a", "x.jpg"), (2, "a", "x.cr2"), (3, "a", "y.jpg")], "id bigint, folder string, name string")
+    tags = spark.createDataFrame([(1, "Sea", "user"), (3, "Sea", "user")], "file_id bigint, name string, source string")
+    trash = spark.createDataFrame([], "id bigint, folder string, name string, tags array<struct<name:string,source:string>>, batch bigint")
+    left, own, gone = removal.to_trash(files, tags, trash, spark.createDataFrame([(1,)], "id bigint"), 9)
+    assert rows(left.select("id")) == [(3,)] and rows(own.select("file_id")) == [(3,)] and rows(gone.select("id", "batch")) == [(1, 9), (2, 9)]
+    back, told, rest = removal.restore(left, own, gone, 9)
+    assert rows(back.select("id")) == [(1,), (2,), (3,)] and rows(told.select("file_id", "name")) == [(1, "Sea"), (3, "Sea")] and rest.count() == 0
+    kept, out = removal.empty_trash(gone, 9)
+    assert kept.count() == 2 and out.count() == 0 and removal.empty_trash(gone)[0].count() == 0
+
+
+def test_removal_conflicts(spark):
+    from tessella.operators import removal
+
+    files = spark.createDataFrame([(1, 7, "h", None, 10, 10, 1, "a", "2001-01-01T00:00:00"), (2, 7, "h", None, 10, 10, 2, "b", "2005-01-01T00:00:00"), (3, 8, "z", None, 10, 10, 3, "c", None)], "id bigint, grp bigint, full_hash string, phash bigint, width int, height int, added_at bigint, path string, taken string")
+    tags = spark.createDataFrame([(2, "Sea", "user")], "file_id bigint, name string, source string")
+    plan = removal.removal_plan(files, tags, spark.createDataFrame([(1,)], "id bigint"), spark.createDataFrame([(2,), (3,)], "id bigint"))
+    assert rows(plan["heirs"]) == [(2, 1)] and rows(plan["tags"]) == [(1, "Sea")] and plan["dates"].count() == 0
+    assert sorted(rows(plan["conflicts"])) == [(1, "date"), (3, "no_heir")]
+
+
+def test_inverted_file_recall(spark):
+    """Cells as many as the root of the vectors: neighbours of 0.55 or more are found."""
+    from tessella.operators import index
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 64))[rng.integers(0, 150, 3000)] + 0.5 * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    cells = index.learn_cells(base)
+    assert len(cells.centres) == round(3000**0.5) and cells.probed == 12
+    got = {(r["query_id"], r["id"]) for r in index.near(base.filter("id % 30 = 0"), base, 24, 0.55, cells).collect()}
+    want = set()
+    for q in range(0, 3000, 30):
+        s = x @ x[q]
+        s[q] = -1
+        want |= {(q, int(i)) for i in np.argsort(-s, kind="stable")[:24] if s[i] >= 0.55}
+    assert len(got & want) >= 0.99 * len(want)
