@@ -7,10 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from ..tables import cut, release
 
 
+#: A node of more than so many links is told to all tasks, if that is more than a MOST_HUBS-th of the links: there are never more such nodes.
+HUB, MOST_HUBS = 256, 10_000
+
+
 def _with_least(sides: DataFrame) -> DataFrame:
-    """Adds to each (u, v) the least of u and all its v. Aggregated before the join, so that a node with very many links is no more than a skewed join side."""
-    least = sides.groupBy("u").agg(F.min("v").alias("__m")).select("u", F.least("u", "__m").alias("m"))
-    return sides.join(least, "u")
+    """Adds to each (u, v) the least of u and all its v. Aggregated before the join; nodes with very many links are joined where their links
+    lie, so that none of them is one task's work."""
+    least = cut(sides.groupBy("u").agg(F.min("v").alias("__m"), F.count(F.lit(1)).alias("__n")).select("u", F.least("u", "__m").alias("m"), "__n"))
+    total, most = least.agg(F.sum("__n"), F.max("__n")).first()
+    bound = max(HUB, (total or 0) / MOST_HUBS)
+    if (most or 0) <= bound:
+        return sides.join(least.drop("__n"), "u")
+    hubs = F.broadcast(least.filter(F.col("__n") > bound).drop("__n"))  # bounded: MOST_HUBS nodes
+    return sides.join(hubs, "u").unionByName(sides.join(hubs.select("u"), "u", "left_anti").join(least.drop("__n"), "u"))
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
