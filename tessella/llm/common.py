@@ -9,12 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..tables import checkpoint_dir as use_checkpoint_dir, cut  # noqa: F401
+from ..tables import checkpoint_dir as use_checkpoint_dir, cut, small  # noqa: F401
 
 #: An Arrow batch is handed on in slices of about this many bytes of text, so that one batch of very long texts stays small.
 SLICE_BYTES = 4 << 20
-#: Classes that a sample may be drawn by.
-MAX_CLASSES = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,15 +89,11 @@ def bounded_sample(df: DataFrame, key: str, bound: int, salt: str, by: list[str]
     The counts come from one aggregation of key columns only. Rows with a null class are left out.
     """
     by = by or []
-    n = F.count(F.lit(1)).alias("__n")
-    drawn = df.withColumn("__u", unit_hash(F.col(key), salt))
+    u = unit_hash(F.col(key), salt)
     if not by:
-        rows = df.agg(n).collect()[0]["__n"]
-        return drawn.filter(F.col("__u") < bound / max(rows, 1)).drop("__u")
+        rows = df.count()
+        return df.filter(u < bound / max(rows, 1))
     known = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in by))
-    counts = known.groupBy(*by).agg(n).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    name = F.concat_ws("\x00", *[F.col(c).cast("string") for c in by])
-    shares = F.create_map(*[F.lit(x) for r in counts for x in ("\x00".join(str(r[c]) for c in by), bound / r["__n"])]) if counts else F.lit(None).cast("map<string,double>")
-    return drawn.filter(F.col("__u") < shares[name]).drop("__u")
+    rate = free_name(df.columns, "rate")
+    rates = cut(known.groupBy(*by).agg((F.lit(float(bound)) / F.count(F.lit(1))).alias(rate)))
+    return known.join(small(rates), by).filter(u < F.col(rate)).drop(rate).select(df.columns)

@@ -17,8 +17,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Training texts of each language, picked by a hash of the id; all where there are fewer.
 SAMPLE_PER_LANG = 3_000
-#: Languages learned; the model's size is this times BUCKETS at most.
-MAX_LANGS = 512
+#: Languages learned, those with most texts; the model's size is this times BUCKETS numbers at most (128 MB).
+MAX_LANGS = 1024
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _letter = None
 
@@ -68,10 +68,12 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     """Languages (sorted) and their matrix of log-probabilities, with log-priors taken equal.
 
     Rows with a null text or language teach nothing. At most about per_lang texts of a language
-    are read; raises if there are more than MAX_LANGS languages.
+    are read, of the MAX_LANGS languages with most texts (ties: first in the alphabet).
     """
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sample = bounded_sample(rows, "doc_id", per_lang, "langid", ["lang"])
+    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    chosen = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in names], "lang string"))  # bounded: MAX_LANGS rows
+    sample = bounded_sample(rows.join(chosen, "lang", "left_semi"), "doc_id", per_lang, "langid", ["lang"])
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
@@ -88,8 +90,6 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     total: dict[str, np.ndarray] = {}
     for r in parts:
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.float64)
-    if len(total) > MAX_LANGS:
-        raise ValueError(f"{len(total)} languages; MAX_LANGS is {MAX_LANGS}")
     langs = sorted(total)
     counts = np.array([total[x] for x in langs]).reshape(len(langs), BUCKETS) + smoothing
     return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)

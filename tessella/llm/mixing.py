@@ -52,17 +52,18 @@ def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
-    """Inclusion probability of each cell. codes[cell, dimension] index shares[dimension]."""
+def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """Inclusion probability of each cell, and whether all margins fit. codes[cell, dimension] index shares[dimension].
+    Without tokens every probability is 1. Margins that contradict one another fit no probabilities; then the last round's are told, with False."""
     total = tokens.sum()
     if not total:
-        return np.ones(len(tokens))
+        return np.ones(len(tokens)), True
     held = [np.bincount(codes[:, d], tokens, len(s)) for d, s in enumerate(shares)]
     # No category can give more than it has.
     scale = min([1.0, *(h[s > 0].min() if (s > 0).any() else 1.0 for h, s in ((h / np.maximum(s * total, 1e-300), s) for h, s in zip(held, shares, strict=True)))])
     w = np.ones(len(tokens))
     for _ in range(SHRINKS):
-        w = np.full(len(tokens), scale)
+        w, before = np.full(len(tokens), scale), None
         for _ in range(ROUNDS):
             off = 0.0
             for d, s in enumerate(shares):
@@ -71,18 +72,22 @@ def rake(codes: np.ndarray, tokens: np.ndarray, shares: list[np.ndarray]) -> np.
                 off = max(off, float(np.abs(now - want).max() / (scale * total)))
                 w = np.minimum(1.0, w * (want / np.maximum(now, 1e-300))[codes[:, d]])
             if off < TOLERANCE:
-                return w
+                return w, True
+            if before is not None and abs(before - off) < 1e-3 * off and off > 10 * TOLERANCE and not (w >= 1).any():
+                return w, False  # nothing moves and no cell is used up: a smaller total would not fit either
+            before = off
         scale *= SHRINK
-    return w
+    return w, False
 
 
-def rake_frames(cells: DataFrame, shares: dict[str, DataFrame], scale: float, total: float) -> DataFrame:
-    """cells(source, lang, topic, tokens) with w, raked over DataFrames as rake() does: for more cells than the driver takes."""
+def rake_frames(cells: DataFrame, shares: dict[str, DataFrame], scale: float, total: float) -> tuple[DataFrame, bool]:
+    """cells(source, lang, topic, tokens) with w, raked over DataFrames as rake() does, and whether all margins fit: for more cells than
+    the driver takes, with the same rounds, stops and results."""
     if not total:
-        return cells.withColumn("w", F.lit(1.0))
+        return cells.withColumn("w", F.lit(1.0)), True
     now = cells
     for _ in range(SHRINKS):
-        now = cells.withColumn("w", F.lit(float(scale)))
+        now, before = cells.withColumn("w", F.lit(float(scale))), None
         for r in range(ROUNDS):
             now = now.withColumn("__off", F.lit(0.0))
             for d, s in shares.items():
@@ -90,18 +95,21 @@ def rake_frames(cells: DataFrame, shares: dict[str, DataFrame], scale: float, to
                 sums = now.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("__now")).join(s, d).select(d, F.abs(F.col("__now") - want).alias("__gap"), (want / F.greatest(F.col("__now"), F.lit(1e-300))).alias("__ratio"))
                 now = now.join(sums, d).withColumn("w", F.least(F.lit(1.0), F.col("w") * F.col("__ratio"))).withColumn("__off", F.greatest("__off", "__gap")).drop("__ratio", "__gap")
             now = cut(now)
-            off = now.agg(F.max("__off")).first()[0]
+            off, used = now.agg(F.max("__off") / (scale * total), F.bool_or(F.col("w") >= 1)).first()
             now = now.drop("__off")
             if r % 10 == 9:
                 release(now.sparkSession)
-            if off < TOLERANCE * scale * total:
-                return now
+            if off < TOLERANCE:
+                return now, True
+            if before is not None and abs(before - off) < 1e-3 * off and off > 10 * TOLERANCE and not used:
+                return now, False
+            before = off
         scale *= SHRINK
-    return now
+    return now, False
 
 
-def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
-    """(source, lang, topic, tokens, w) for the cells of weighed() rows, and whether they are few enough to broadcast.
+def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool, bool]:
+    """(source, lang, topic, tokens, w) for the cells of weighed() rows, whether they are few enough to broadcast, and whether all margins fit.
 
     targets gives shares by dimension and category; categories that it leaves out get none, and
     dimensions that it leaves out are tempered.
@@ -123,7 +131,8 @@ def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, targe
             least = shares[d].filter("share > 0").agg(F.min(F.col("t") / (F.col("share") * max(total, 1.0)))).first()[0]
             scale = min(scale, least if least is not None else 1.0)
             shares[d] = cut(shares[d].select(d, "share"))
-        return rake_frames(cells, shares, scale, total), False
+        found, fitted = rake_frames(cells, shares, scale, total)
+        return found, False, fitted
     got = sorted(cells.collect())
     tokens = np.array([r["tokens"] for r in got], float)
     codes, shares = np.zeros((len(got), len(DIMENSIONS)), int), []
@@ -134,9 +143,9 @@ def probabilities(rows: DataFrame, temper: dict[str, float] | None = None, targe
         sums = np.bincount(codes[:, i], tokens, len(names)) if got else np.zeros(0)
         share = targets[d] if d in targets else tempered(dict(zip(names, sums.tolist(), strict=True)), temper[d])
         shares.append(np.array([share.get(k, 0.0) for k in names], float))
-    w = rake(codes, tokens, shares)
+    w, fitted = rake(codes, tokens, shares)
     made = [(*[r[d] for d in DIMENSIONS], r["tokens"], float(x)) for r, x in zip(got, w, strict=True)]
-    return rows.sparkSession.createDataFrame(made, "source string, lang string, topic string, tokens double, w double"), True
+    return rows.sparkSession.createDataFrame(made, "source string, lang string, topic string, tokens double, w double"), True, fitted
 
 
 def draw(rows: DataFrame, cells: DataFrame, few: bool, key: str = "doc_id") -> DataFrame:
@@ -147,20 +156,25 @@ def draw(rows: DataFrame, cells: DataFrame, few: bool, key: str = "doc_id") -> D
 
 
 def mix(docs: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Every document with the weighed() columns, __w (its probability) and __selected. Empty tables give no rows;
-    documents without tokens are drawn by their cell's probability like others."""
+    """Every document with the weighed() columns, __w (its probability), __selected and __fitted (whether all margins fit: False where the
+    targets contradict one another). docs has columns of its own of none of these names. Empty tables give no rows; null sources and
+    languages are categories of their own; documents without tokens are drawn by their cell's probability like others."""
     rows = weighed(docs)
-    cells, few = probabilities(rows, temper, targets, max_cells)
-    return draw(rows, cells, few)
+    cells, few, fitted = probabilities(rows, temper, targets, max_cells)
+    return draw(rows, cells, few).withColumn("__fitted", F.lit(fitted))
 
 
 def keep_drawn(docs: DataFrame, **options) -> DataFrame:
-    """The documents drawn, with their own columns."""
-    return mix(docs, **options).filter("__selected").select([F.col(f"`{c}`") for c in docs.columns])
+    """The documents drawn, with their own columns, whatever their names. Rows with a null id share one fate for each cell."""
+    names = docs.columns
+    used = [c for c in ("doc_id", "text", "source", "lang", "topic") if c in names]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.select("*", *[F.col(f"c{names.index(c)}").alias(c) for c in used])
+    return mix(plain, **options).filter("__selected").select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def op5_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__w").alias("weight"), F.col("__selected").alias("selected")
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__w").alias("weight"), F.col("__selected").alias("selected"), F.col("__fitted").alias("fitted")
     )

@@ -2,14 +2,14 @@
 
 A text's words (lower-cased runs of letters and digits) are labelled with their occurrence numbers.
 Each of SKETCHES hash functions picks the PICKS least labelled words (k-mers of K words in general);
-put in the order they have in the text, they are one value of the text's sketch, so a value is five
+put in the order they have in the text, they are one value of the text's sketch, so a value is six
 words in text order. Two texts agree in a value with a chance that falls with their edit distance,
 as both the words and their order count. Texts that agree in a value are candidates; a link is a
 pair whose word edit distance, found by a banded alignment, is at most (1 - SIMILARITY) of the
 longer text. Classes are the connected components of the links.
 
-One-word k-mers with five picks, not longer k-mers with fewer: an edit spoils one word but K k-mers,
-and the order of five picks tells unlike texts apart as well as the order inside longer k-mers does.
+One-word k-mers with six picks, not longer k-mers with fewer: an edit spoils one word but K k-mers,
+and the order of six picks tells unlike texts apart as well as the order inside longer k-mers does.
 
 Copies. Texts with the same words are one node from the start, so copies are never paired.
 
@@ -18,11 +18,11 @@ words of each in one order for all texts (rare ones first), they share one of th
 text of up to SHORT words is put under these too, so no pair of such texts is lost, wherever the
 edits lie.
 
-Buckets. The first FIRST values link most classes: all pairs of a bucket of up to PAIRED nodes, in a
+Buckets. One bucket in FIRST links most classes: all pairs of a bucket of up to PAIRED nodes, in a
 larger one each node with the least of its part and those with the bucket's least. That is only an
-order of work, no cap: then every two nodes of unlike classes that share any value are compared. In
-large buckets, pairs whose lengths or word counts alone ask for too many edits are left out, which
-loses none. First each node meets its most promising partner of another class, so that large groups
+order of work, no cap: then every two nodes of unlike classes that share any value are compared.
+Pairs whose lengths or word counts alone ask for too many edits are left out before any words are
+fetched, which loses none. First each node meets its most promising partner of another class, so that large groups
 are one class when what is left is aligned. Large buckets are dealt over tasks by (bucket, part) in
 every step: joins, stars and blocks.
 """
@@ -37,22 +37,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
-from ..tables import release
+from ..tables import release, small
 from .common import cut, free_name, map_text, table
 
 K = 1
 SIMILARITY = 0.8
-SKETCHES = 64
-PICKS = 5
+SKETCHES = 80
+PICKS = 6
 #: Buckets of up to so many rows make their pairs in one row, larger ones in blocks.
 PAIRED = 6
 #: A bucket of more than PART rows is dealt over tasks. On tables of more than PART * MOST_LARGE rows it is more than a MOST_LARGE-th
 #: of them, so that there are never more than MOST_LARGE such buckets to tell the tasks.
 PART, MOST_LARGE = 256, 10_000
+#: Ids that are broadcast to pick texts by, some tens of MB; more are joined by shuffling.
+MOST_IDS = 1_000_000
 #: Rows of a large bucket that are dealt together, and hash values that words are counted by.
-BLOCK, DIMS = 512, 256
-#: Sketch values that the first links are sought by.
-FIRST = 8
+BLOCK, DIMS = 512, 128
+#: One bucket in so many is looked at first.
+FIRST = 10
 #: Texts of up to so many words are also sought by words, which finds all their pairs.
 SHORT = 40
 #: Hash values that the words of short texts are counted by.
@@ -130,26 +132,53 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Word hashes as numbers of WORD_BYTES bytes."""
+    return np.ascontiguousarray(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
+
+
 def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with `key` (equal for texts with the same words; for texts without a word, for
-    equal texts; null for null) and `sketch` (empty without a word)."""
+    equal texts; null for null), `sketch` (empty without a word), `size` (the number of words),
+    `short` (their packed hashes, of texts of up to SHORT words) and `bag` (how many words fall on each
+    of DIMS hash values; 255 for more)."""
 
     def make():
         words = Words()
 
         def work(texts: list) -> dict:
-            keys, sketches, ends = [], [], [0]
+            keys, sketches, ends, sizes, short, bags = [], [], [0], [], [], []
             for t in texts:
                 own = WORD.findall((t or "").lower())
                 keys.append(None if t is None else xxhash.xxh3_128_digest(b"w" + " ".join(own).encode() if own else b"t" + t.encode("utf-8", "replace")))
-                sketches.append(sketch(words.hashes(own)))
+                h = words.hashes(own)
+                sketches.append(sketch(h))
+                sizes.append(len(own))
+                short.append(pack(h) if len(own) <= SHORT else None)
+                bags.append(np.minimum(np.bincount((h % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes())
                 ends.append(ends[-1] + len(sketches[-1]))
             flat = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
-            return {"key": pa.array(keys, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+            return {"key": pa.array(keys, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "size": pa.array(sizes, pa.int32()), "short": pa.array(short, pa.binary()), "bag": pa.array(bags, pa.binary())}
 
         return work
 
-    return map_text(df, make, "key binary, sketch array<bigint>", text, keep)
+    return map_text(df, make, "key binary, sketch array<bigint>, size int, short binary, bag binary", text, keep)
+
+
+def packed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Kept columns with `words`, the text's word hashes, packed."""
+
+    def make():
+        words = Words()
+        return lambda texts: {"words": [pack(words.hashes(WORD.findall((t or "").lower()))) for t in texts]}
+
+    return map_text(df, make, "words binary", text, keep)
 
 
 def bounded_distance(a: list, b: list, most: int) -> int:
@@ -216,29 +245,30 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return bounded_distance(back[: len(a)].tolist(), back[len(a) :].tolist(), most) <= most
 
 
-def pack(h: np.ndarray) -> bytes:
-    """Word hashes as numbers of WORD_BYTES bytes."""
-    return np.ascontiguousarray(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-
+def screened(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but for those that by their lengths and bags(id, size, bag) cannot be similar."""
+    pairs = cut(pairs)
+    bags = bags.join(small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), MOST_IDS), "id", "left_semi")
+    side = lambda n: bags.select(F.col("id").alias(n), F.col("size").alias(f"n{n}"), F.col("bag").alias(f"w{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
-    return out.view("<u8").ravel()
-
-
-def packed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Kept columns with `words`, the text's word hashes, packed."""
-
-    def make():
-        words = Words()
-        return lambda texts: {"words": [pack(words.hashes(WORD.findall((t or "").lower()))) for t in texts]}
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                size = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)]).astype(np.int64)
+                bag = np.concatenate([np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, DIMS) for i in (4, 5)])
+                fine = possible(size, bag, np.arange(n), np.arange(n, 2 * n), similarity) >= 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine))
 
-    return map_text(df, make, "words binary", text, keep)
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose words(id, words) align."""
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of docs(doc_id, text) whose words align. Where the ids are few, no text is shuffled."""
+    pairs = cut(pairs)
+    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), MOST_IDS)
+    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi"))).dropDuplicates(["id", "words"])
     left = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
@@ -249,55 +279,49 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
             mask = [similar(unpack(x.as_py()), unpack(y.as_py()), similarity) for x, y in zip(wa, wb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    found = cut(both.mapInArrow(run, "a bigint, b bigint").distinct())
+    del words, left, right, both
+    release(docs.sparkSession)
+    return found
 
 
 def dealt_join(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """rows(bucket, id, ...) joined with sizes(bucket, n, ...), with `part`. Buckets of many rows are dealt in parts of about PART rows
-    (more on a bucket beyond PART squared, so that it has as many parts as a part has rows), so that none is one task's work."""
+    (more on a bucket beyond PART squared, so that it has as many parts as a part has rows), so that none is one task's work. Their number
+    is a power of two, so that rows that meet in one bucket's part mostly meet in those of other buckets."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = F.ceil(F.col("n") / F.greatest(F.lit(PART), F.sqrt("n"))).cast("int")
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / F.greatest(F.lit(PART), F.sqrt("n"))))).cast("int")
     told = sizes.withColumn("parts", F.when(F.col("n") > max(PART, total / MOST_LARGE), parts).otherwise(1))
     large = F.broadcast(told.filter("parts > 1").select("bucket", F.col("parts").alias("into")))  # bounded: MOST_LARGE buckets
     dealt = rows.join(large, "bucket", "left").withColumn("part", F.when(F.col("into").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("into")).cast("int"))).drop("into")
     return dealt.join(told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["bucket", "part"])
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """rows(bucket, id, comp, ...) of the buckets that hold unlike components, with n, the bucket's rows, its least row and its part."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "comp")).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+def told(rows: DataFrame, over: int = 0) -> DataFrame:
+    """rows(bucket, id, comp, ...) of the buckets of more than `over` rows that hold unlike components, with n, the bucket's rows, its least
+    row and its part."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "comp", "size")).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"lo <> hi AND n > {over}")
     return cut(dealt_join(rows, cut(sizes.select("bucket", "n", "least"))))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    unlike = pairs.filter("x.id <> y.id AND x.comp <> y.comp")
+def ordered(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of unlike components whose lengths allow them to be similar."""
+    unlike = pairs.filter("x.id <> y.id AND x.comp <> y.comp").filter(F.least("x.size", "y.size") >= F.lit(similarity - 1e-6) * F.greatest("x.size", "y.size"))
     return unlike.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def small_pairs(rows: DataFrame) -> DataFrame:
+def small_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of unlike components in the told() buckets of up to PAIRED rows."""
-    few = rows.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("own"))  # bounded: PAIRED rows
-    return ordered(few.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y"))
+    few = rows.filter(F.col("n") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("id", "comp", "size"))).alias("own"))  # bounded: PAIRED rows
+    return ordered(few.select(F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y"), similarity)
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """In the larger told() buckets the pairs of each row with the least of its part, and of those with the bucket's least."""
-    many, row = rows.filter(F.col("n") > PAIRED), F.struct("id", "comp")
+    many, row = rows.filter(F.col("n") > PAIRED), F.struct("id", "comp", "size")
     centres = many.groupBy("bucket", "part").agg(F.min(row).alias("centre"), F.first("least").alias("least"))
     own = many.join(centres.select("bucket", "part", "centre"), ["bucket", "part"]).select(F.col("centre").alias("x"), row.alias("y"))
-    return ordered(own.unionByName(centres.select(F.col("least").alias("x"), F.col("centre").alias("y"))))
-
-
-def bags(words: DataFrame) -> DataFrame:
-    """(id, size, bag) of words(id, words): the number of words and how many fall on each of DIMS hash values (255 for more)."""
-
-    def run(batches):
-        for batch in batches:
-            own = [unpack(x.as_py()) for x in batch.column(1)]
-            made = [np.minimum(np.bincount((w % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes() for w in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in own], pa.int32()), pa.array(made, pa.binary())], names=["id", "size", "bag"])
-
-    return words.select("id", "words").mapInArrow(run, "id bigint, size int, bag binary")
+    return ordered(own.unionByName(centres.select(F.col("least").alias("x"), F.col("centre").alias("y"))), similarity)
 
 
 def possible(size: np.ndarray, bag: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -348,15 +372,15 @@ def block_pairs(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bag: np.nda
     return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
 
-def large_pairs(rows: DataFrame, bag: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+def large_pairs(rows: DataFrame, bags: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """Pairs (a, b) of unlike components in the told() buckets of more than PAIRED rows, but for those that by their lengths and bags
     cannot be similar; with `nearest` only each row's most promising one.
 
     A bucket is dealt in parts of about BLOCK rows, and each two parts meet in one block, so a block is bounded and none is left out.
     """
-    many = rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct()
+    many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct())
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = many.join(bag, "id").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = many.join(bags, "id").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     blocks = blocks.select(cell.alias("cell"), "id", "comp", "size", "bag", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("part"))
@@ -390,13 +414,13 @@ def large_pairs(rows: DataFrame, bag: DataFrame, similarity: float, nearest: boo
 
 def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows(id, ...) with comp, the component of each id by the links so far."""
-    roots = components(links).select(F.col("node").alias("id"), "root")
+    roots = small(components(links).select(F.col("node").alias("id"), "root"), MOST_IDS)
     return rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def short_buckets(words: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, id, j) of words(id, words) of texts of up to SHORT words: two of them that are similar share a bucket, with j = SKETCHES."""
-    short = words.filter(F.length("words") <= WORD_BYTES * SHORT)
+def short_buckets(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id, size) of nodes(id, size, short) of texts of up to SHORT words: two of them that are similar share a bucket."""
+    short = nodes.filter(F.col("size") <= SHORT).select("id", "size", F.col("short").alias("words"))
 
     def count(batches):
         n = np.zeros(COUNTED, np.int64)
@@ -412,19 +436,34 @@ def short_buckets(words: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, keys = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, keys, sizes = [], [], []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 w = np.sort(unpack(x))
                 run = np.maximum.accumulate(np.where(np.concatenate([[True], w[1:] != w[:-1]]), np.arange(len(w)), 0)) if len(w) else np.zeros(0, np.int64)
                 label = (np.arange(len(w)) - run).astype(np.uint64)
                 first = np.lexsort((label, w, often[(w % np.uint64(COUNTED)).astype(np.int64)]))[: int((1 - similarity) * len(w) + 1e-9) + 1]
                 own = mixed(mixed(w[first] + _GOLD) + label[first] * _GOLD)
                 ids.append(np.full(len(own), i))
+                sizes.append(np.full(len(own), len(w)))
                 keys.append(own.view(np.int64))
-            flat = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (keys, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in flat], names=["bucket", "id"])
+            flat = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (keys, ids, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in flat], names=["bucket", "id", "size"])
+
+    return short.mapInArrow(run, "bucket bigint, id bigint, size bigint").select("bucket", "id", F.col("size").cast("int"))
+
+
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """(key, n, id, sketch, size, short, bag): texts with the same words once, by their least id, with their number."""
+    least = F.min(F.struct("doc_id", "sketch", "size", "short", "bag")).alias("x")
+    return cut(signed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), least).select("key", "n", F.col("x.doc_id").alias("id"), "x.sketch", "x.size", "x.short", "x.bag"))
+
 
-    return short.mapInArrow(run, "bucket bigint, id bigint").select("bucket", "id", F.lit(SKETCHES).alias("j"))
+def shared_buckets(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id, size) of the buckets of two nodes or more. An id with several texts is several nodes of one id."""
+    rows = nodes.select("id", "size", F.explode("sketch").alias("bucket")).select("bucket", "id", "size").unionByName(short_buckets(nodes, similarity))
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    release(nodes.sparkSession)
+    return cut(dealt_join(rows, sizes).select("bucket", "id", "size").distinct())
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -432,45 +471,40 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
 
     A row with a null text is a class of its own; a null id gets a null class. Empty and wordless
     texts are in one class with equal texts only. An id on several rows counts as one document with
-    all their texts, so its rows share a class.
+    all their texts, so its rows share a class. An empty table gives no rows.
     """
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = cut(signatures(docs))
     known = signed.filter("doc_id IS NOT NULL AND key IS NOT NULL")
-    least = known.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("x"), F.count(F.lit(1)).alias("n"))
-    nodes = cut(least.select("key", "n", F.col("x.doc_id").alias("id"), F.col("x.sketch").alias("sketch")))
-    # Copies: each id hangs on its key's least id. These links need no check.
-    copied = nodes.filter("n > 1").select(F.col("key").alias("bucket"), "n", F.col("id").alias("head"))
-    copies = dealt_join(known.select(F.col("key").alias("bucket"), F.col("doc_id").alias("id")), copied)
-    links = copies.filter("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-
-    # Buckets with two nodes or more, and the words of all nodes in one. An id with several texts is several nodes of one id.
-    sketched = nodes.filter(F.size("sketch") > 0).select("id", "sketch")
-    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(sketched.select("id").distinct(), "id", "left_semi")))
-    buckets = sketched.select("id", F.posexplode("sketch").alias("j", "bucket")).select("bucket", "id", "j").unionByName(short_buckets(words, similarity))
-    held = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "n")
-    shared = cut(dealt_join(buckets, cut(held)).select("bucket", "id", "j").distinct())
-
-    # The first values alone link most classes; after that only pairs of unlike classes are looked at.
-    first = told(shared.filter(F.col("j") < FIRST).withColumn("comp", F.col("id")))
-    done = cut(small_pairs(first).unionByName(star_pairs(first)).distinct())
-    near = cut(verified(done, words, similarity).distinct())
+    nodes = nodes_of(known)
+    release(df.sparkSession)
+    sketched = nodes.filter(F.size("sketch") > 0)
+    shared = shared_buckets(sketched.select("id", "sketch", "size", "short"), similarity)
+    bags = sketched.select("id", "size", "bag")
+    release(df.sparkSession)
+
+    # A part of the buckets links most classes; after that only pairs of unlike classes are looked at.
+    first = told(shared.filter(F.pmod("bucket", F.lit(FIRST)) == 0).withColumn("comp", F.col("id")))
+    done = cut(screened(small_pairs(first, similarity).unionByName(star_pairs(first, similarity)).distinct(), bags, similarity))
+    near = verified(done, docs, similarity)
     del first
     release(df.sparkSession)
     # Each row of a large bucket meets the most promising of another class, then, as few are left apart, all that can be similar.
-    bag = cut(bags(words))
     for nearest in (True, False):
         linked = with_roots(shared, near)
-        rows = told(linked)
-        pairs = large_pairs(rows, bag, similarity, nearest)
+        rows = told(linked, 0 if nearest else PAIRED)
+        pairs = large_pairs(rows, bags, similarity, nearest)
         if nearest:
-            pairs = pairs.unionByName(small_pairs(rows)).distinct()
+            pairs = pairs.unionByName(screened(small_pairs(rows, similarity), bags, similarity)).distinct()
         pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        near = near.unionByName(cut(verified(pairs, words, similarity).distinct()))
+        near = near.unionByName(verified(pairs, docs, similarity))
         done = done.unionByName(pairs)
         del linked, rows
         release(df.sparkSession)
-    roots = components(links.unionByName(near))
+    # Copies: each id hangs on its key's least id. These links need no check.
+    copied = nodes.filter("n > 1").select(F.col("key").alias("bucket"), "n", F.col("id").alias("head"))
+    copies = dealt_join(known.select(F.col("key").alias("bucket"), F.col("doc_id").alias("id")), copied).filter("head <> id")
+    roots = components(copies.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct().unionByName(near))
     out = signed.select("doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 

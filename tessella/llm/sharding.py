@@ -41,6 +41,9 @@ class Run:
 
 
 class ShardStore:
+    """A table of shards under one folder. Rows are kept as they are: nulls, repeated rows and columns of any names; an arrival without
+    rows is no run. Reading a version that has none needs a schema."""
+
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT, smallest: int = SMALLEST_BYTES):
         self.spark, self.root, self.target, self.fanout, self.smallest = spark, root.rstrip("/"), target, fanout, smallest
         self.jvm = spark._jvm
@@ -174,7 +177,8 @@ class ShardStore:
 
 
 def deal(store: ShardStore, df: DataFrame, arrivals: int = ARRIVALS, key: str = "doc_id") -> int:
-    """Append df in so many arrivals, dealt by a hash of the key, with a compaction after each."""
+    """Append df in so many arrivals, dealt by a hash of the key (null keys together), with a compaction after each; the last version.
+    An empty table commits none and gives 0."""
     for i in range(arrivals):
         store.append(df.filter(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(arrivals)) == i))
         store.compact(df.schema)

@@ -5,8 +5,9 @@ BUCKETS; each counts once. score = sigmoid(w0 + sum of w_i + sum over pairs of <
 that a pair such as an insult beside the mention of a group can weigh more than its parts.
 
 Terms that are no more frequent in toxic than in other texts (or the reverse) carry noise that
-grows with a text's length, so only terms whose frequencies differ by Z_LEAST standard errors
-are learned; the rest weigh nothing.
+grows with a text's length, so only terms whose frequencies differ by Z_LEAST standard errors are
+learned, and those of pairs of common terms whose joint frequencies differ by Z_PAIR, although each
+of the two may tell nothing by itself; the rest weigh nothing.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_sample, fold, free_name, map_text, table
+from .common import bounded_sample, cut, fold, free_name, map_text, table
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Labelled texts of each class in training, picked by a hash of the id; all where there are fewer.
 SAMPLE_PER_CLASS = 4_000
 Z_LEAST = 3.5
+#: Terms, the commonest in up to COMMON of the texts, that are looked at in pairs, and the least standard errors of a pair's difference beyond what its members make likely.
+PAIRED_TERMS, COMMON, Z_PAIR = 256, 0.7, 6.0
 FACTORS = 4
 #: Batches that training takes at least.
 STEPS = 600
@@ -51,13 +55,13 @@ def terms(text: str | None, known: dict[str, list[int]]) -> list[int]:
 
 
 def extract(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns with `terms`, the sorted buckets of each text as packed 32-bit numbers."""
+    """Kept columns with `terms`, the sorted buckets of each text."""
 
     def make():
         known: dict[str, list[int]] = {}
-        return lambda texts: {"terms": [np.array(terms(t, known), np.int32).tobytes() for t in texts]}
+        return lambda texts: {"terms": [terms(t, known) for t in texts]}
 
-    return map_text(df, make, "terms binary", text, keep)
+    return map_text(df, make, "terms array<int>", text, keep)
 
 
 class Model:
@@ -75,14 +79,39 @@ class Model:
         return 1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
+def differs(n0, n1, of0: int, of1: int):
+    """By how many standard errors shares n0 of of0 and n1 of of1 differ."""
+    p = (n0 + n1) / (of0 + of1)
+    return np.abs(n1 / of1 - n0 / of0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / of0 + 1 / of1))
+
+
 def select(docs: list[np.ndarray], y: np.ndarray, z_least: float = Z_LEAST) -> np.ndarray:
-    """Buckets whose shares of toxic and other texts differ by z_least standard errors, in 5 texts at least."""
-    counts = [np.bincount(np.concatenate([d for d, c in zip(docs, y, strict=True) if c == k] or [np.zeros(0, int)]).astype(np.int64), minlength=BUCKETS) for k in (0, 1)]
-    n0, n1 = max((y == 0).sum(), 1), max((y == 1).sum(), 1)
-    both = counts[0] + counts[1]
-    p = both / (n0 + n1)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1))
-    return np.flatnonzero((both >= 5) & (np.abs(counts[1] / n1 - counts[0] / n0) > z_least * error))
+    """Buckets whose shares of toxic and other texts differ by z_least standard errors, in 5 texts at least, and those of telling pairs."""
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    ids, back = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    of = [max(int((y == k).sum()), 1) for k in (0, 1)]
+    n = [np.bincount(back[y[owner] == k], minlength=len(ids)) for k in (0, 1)]
+    both = n[0] + n[1]
+    chosen = (both >= 5) & (differs(n[0], n[1], *of) > z_least)
+    common = np.flatnonzero((both >= 5) & (both <= COMMON * len(docs)))
+    common = common[np.lexsort((ids[common], -both[common]))[:PAIRED_TERMS]]
+    place = np.full(len(ids), -1)
+    place[common] = np.arange(len(common))
+    there = np.zeros((len(docs), len(common)), np.float32)
+    held = place[back] >= 0
+    there[owner[held], place[back[held]]] = 1
+    joint = [there[y == k].T @ there[y == k] for k in (0, 1)]
+    share = [there[y == k].sum(0) / of[k] for k in (0, 1)]
+    # What the members' own shares make likely is taken off, so that a common term does not bring all others along.
+    excess = (joint[1] / of[1] - np.outer(share[1], share[1])) - (joint[0] / of[0] - np.outer(share[0], share[0]))
+    p = (joint[0] + joint[1]) / len(docs) if docs else joint[0]
+    z = np.abs(excess) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * (1 / of[0] + 1 / of[1]))
+    np.fill_diagonal(z, 0)
+    # Prefixes stand with their words: such pairs tell no more than the word does.
+    z[(joint[0] + joint[1]) >= 0.9 * np.minimum(both[common][:, None], both[common][None, :])] = 0
+    chosen[common[(z > Z_PAIR).any(0)]] = True
+    return ids[chosen]
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 15, rate: float = 0.1, l2: float = 1e-3, seed: int = 7) -> Model:
@@ -137,8 +166,31 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int =
     prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1.0)
     drawn = F.broadcast(bounded_sample(known, "doc_id", per_class, "toxicity", ["toxic"]))  # bounded: 2 * per_class rows
     rows = extract(docs.select("doc_id", F.col(text).alias("text")).filter("text IS NOT NULL").join(drawn, "doc_id"), keep=("doc_id", "toxic"))
-    got = sorted(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms")).collect())
-    return train([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got], np.array([r["toxic"] for r in got], int), prior)
+    rows = cut(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms")))
+    # Terms that can be selected are told apart on the executors, so that a text sends some hundred numbers at most, however long it is.
+    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of0, of1 = max(size.get(0, 0), 1), max(size.get(1, 0), 1)
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).filter("n0 + n1 >= 5")
+    counts = cut(counts.withColumn("p", (F.col("n0") + F.col("n1")) / (of0 + of1)))
+    apart = F.abs(F.col("n1") / of1 - F.col("n0") / of0) > (Z_LEAST - 0.01) * F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-12)) * (1 / of0 + 1 / of1))
+    common = counts.filter(F.col("p") <= COMMON).orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(PAIRED_TERMS)
+    kept = np.unique([r["term"] for r in counts.filter(apart).select("term").unionByName(common.select("term")).collect()])
+    few = rows.select("doc_id", "toxic", F.col("terms")).mapInArrow(_only(kept), "doc_id string, toxic int, terms array<int>")
+    got = sorted(few.collect())
+    return train([np.array(r["terms"], np.int64) for r in got], np.array([r["toxic"] for r in got], int), prior)
+
+
+def _only(kept: np.ndarray):
+    """Batches of (doc_id, toxic, terms) with the terms that are in kept."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.asarray(x, np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array([x[np.isin(x, kept)].astype(np.int32) for x in own], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"]
+            )
+
+    return run
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

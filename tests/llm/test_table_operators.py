@@ -1,5 +1,6 @@
 """The operators over tables: against brute force, and on odd, empty and skewed tables."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -153,8 +154,8 @@ def test_rake_fits_the_margins():
     codes = np.array([(a, b, c) for a in range(4) for b in range(3) for c in range(2)])
     tokens = rng.integers(100, 5000, len(codes)).astype(float)
     shares = [np.full(4, 0.25), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
-    w = mixing.rake(codes, tokens, shares)
-    assert (w >= 0).all() and (w <= 1).all()
+    w, fitted = mixing.rake(codes, tokens, shares)
+    assert fitted and (w >= 0).all() and (w <= 1).all()
     for d, s in enumerate(shares):
         sums = np.bincount(codes[:, d], w * tokens)
         assert np.abs(sums / sums.sum() - s).max() < 5e-3
@@ -171,9 +172,9 @@ def test_mixing(spark, sf):
 
 def test_mixing_over_frames_is_mixing_on_the_driver(spark, sf):
     rows = mixing.weighed(spark.read.parquet(f"{sf}/documents.parquet"))
-    few, a = mixing.probabilities(rows)
-    many, b = mixing.probabilities(rows, max_cells=1)
-    assert a and not b
+    few, a, fits = mixing.probabilities(rows)
+    many, b, fits_too = mixing.probabilities(rows, max_cells=1)
+    assert a and not b and fits == fits_too
     x = {tuple(r[d] for d in mixing.DIMENSIONS): r["w"] for r in few.collect()}
     y = {tuple(r[d] for d in mixing.DIMENSIONS): r["w"] for r in many.collect()}
     assert x.keys() == y.keys() and np.median([abs(x[k] - y[k]) for k in x]) < 0.05
@@ -187,6 +188,39 @@ def test_mixing_odd_rows(spark):
     assert {r["source"] for r in kept} == {"s"}
 
 
+def test_mixing_tells_what_does_not_fit(spark):
+    """Margins that contradict one another, with columns that are named as the operator's own."""
+    docs = spark.createDataFrame([(i, "a b c", *(("s", "x") if i % 2 else ("t", "y")), "mine", 4) for i in range(40)], "doc_id bigint, text string, source string, lang string, __topic string, __tokens int")
+    plain = docs.drop("__topic", "__tokens")
+    targets = {"source": {"s": 0.9, "t": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
+    assert {r["__fitted"] for r in mixing.mix(plain, targets=targets).collect()} == {False}
+    assert {r["__fitted"] for r in mixing.mix(plain, targets={"source": {"s": 0.5, "t": 0.5}}).collect()} == {True}
+    kept = mixing.keep_drawn(docs)
+    assert kept.columns == docs.columns and {(r["__topic"], r["__tokens"]) for r in kept.collect()} == {("mine", 4)}
+
+
+def test_mixing_query_is_brute_force(spark, sf):
+    """The query's weights are those of raking the whole table's cells one after another, and its draws those of the hash."""
+    got = mixing.op5_mixing_ipf(spark, sf).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(got) == len(docs) and all(r["n_tokens"] == len((docs[r["doc_id"]]["text"] or "").split()) for r in got if (docs[r["doc_id"]]["text"] or "").isascii())
+    cells = {}
+    for r in got:
+        cells.setdefault((r["source"], r["lang"], r["topic"]), [0, r["weight"]])[0] += r["n_tokens"]
+    total = sum(n * w for n, w in cells.values())
+    for d, name in enumerate(mixing.DIMENSIONS):
+        own, now = {}, {}
+        for key, (n, w) in cells.items():
+            own[key[d]] = own.get(key[d], 0) + n
+            now[key[d]] = now.get(key[d], 0) + n * w
+        share = {k: v ** mixing.TEMPER[name] for k, v in own.items()}
+        whole = sum(share.values())
+        assert all(abs(now[k] / total - share[k] / whole) < 3e-3 for k in own), name
+    assert all(r["fitted"] for r in got)
+    u = lambda i: int(hashlib.md5(f"mixing:{i}".encode()).hexdigest()[:12], 16) / (1 << 48)
+    assert all(r["selected"] == (u(r["doc_id"]) < r["weight"]) for r in got)
+
+
 def test_shards(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=400_000, fanout=3, smallest=1000)
     df = spark.range(9000).withColumn("x", F.sha2(F.col("id").cast("string"), 256))
@@ -216,6 +250,47 @@ def test_shards_odd_rows(spark, tmp_path):
     assert store.read().count() == 4
 
 
+def test_shards_of_an_empty_table(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert sharding.deal(store, empty, 3) == 0 and store.read(schema=empty.schema).count() == 0
+
+
+def test_shards_query_is_brute_force(spark, sf):
+    """Every document lies in one shard of the last version, and the shards' rows and bytes are those told."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = sharding.op6_size_tiered_shards(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    shards = {}
+    for r in got:
+        shards.setdefault((r["run"], r["shard"], r["shard_rows"], r["shard_bytes"]), []).append(r["doc_id"])
+    assert len({k[:2] for k in shards}) == len(shards) and all(k[2] == len(v) and k[3] > 0 for k, v in shards.items())
+    assert len({k[0] for k in shards}) < sharding.ARRIVALS
+
+
+ODD_DOCS = [(1, None, "en", "s"), (2, "", None, "s"), (3, " \n", "en", None), (4, "word " * 30_000, "en", "s"), (None, "no id " * 10, "en", "s"), (5, "same text here again", "en", "s"), (5, "same text here again", "en", "s"), (6, "same text here again", "de", "t")]
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_odd_tables(spark, sf, at):
+    """Nulls, empty and long texts, repeated rows, ties, columns of clashing names, and an empty table."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = spark.createDataFrame(ODD_DOCS, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    for made in ("score", "__score", "class_id", "__tokens", "key", "id"):
+        docs = docs.withColumn(made, F.lit("clash"))
+    got = stage(spark, docs, sf)
+    if at < 4:
+        assert got.columns == docs.columns and all(r["__score"] == "clash" for r in got.collect()), name
+        assert {(r["doc_id"], r["text"]) for r in got.collect()} <= {(i, t) for i, t, *_ in ODD_DOCS}
+    else:
+        assert got.count() == len(ODD_DOCS)
+    assert stage(spark, docs.limit(0), sf).count() == 0
+    if at == 2:
+        assert sorted(r["doc_id"] or -1 for r in got.collect()) == [-1, 1, 2, 3, 4, 5]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -240,7 +315,7 @@ def test_mixing_over_frames_has_the_drivers_rounds(spark, monkeypatch):
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.45, "y": 0.55}, "topic": {"t": 1.0}}
     for table, told in ((docs, targets), (docs.withColumn("text", F.lit("")), None)):
         rows = mixing.weighed(table)
-        (few, a), (many, b) = mixing.probabilities(rows, targets=told), mixing.probabilities(rows, targets=told, max_cells=1)
+        (few, a, _), (many, b, _) = mixing.probabilities(rows, targets=told), mixing.probabilities(rows, targets=told, max_cells=1)
         x, y = ({tuple(r[d] for d in mixing.DIMENSIONS): r["w"] for r in f.collect()} for f in (few, many))
         assert a and not b and x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x)
         if told is None:

@@ -135,6 +135,35 @@ def test_toxicity_learns_pairs():
     assert score("blorg", "group") > 0.5 > max(score("blorg"), score("group"), score()) and len(words) == 2
 
 
+def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
+    """Toxic with both words or neither, clean with one: each word is as frequent on both sides."""
+    rng = np.random.default_rng(1)
+    bucket = lambda w: toxicity.term_ids(w)[0]
+    docs, y = [], []
+    for _ in range(2000):
+        a, b = rng.integers(0, 2), rng.integers(0, 2)
+        docs.append(np.array(sorted({bucket(f"filler{k}x") for k in rng.integers(0, 60, 8)} | ({bucket("blorg")} if a else set()) | ({bucket("group")} if b else set()))))
+        y.append(int(a == b))
+    m = toxicity.train(docs, np.array(y), 0.5, epochs=60)
+    assert {bucket("blorg"), bucket("group")} <= set(m.ids.tolist()) and len(m.ids) <= 6
+    at = {int(b): i for i, b in enumerate(m.ids)}
+    score = lambda *ws: m.score(np.array([at[bucket(w)] for w in ws], int))
+    assert min(score("blorg", "group"), score()) > 0.5 > max(score("blorg"), score("group"))
+
+
+def test_toxicity_fit_without_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    got = toxicity.score(odd, toxicity.fit(odd, none)).collect()
+    assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1
+
+
+def test_langid_many_languages(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(chr(0x4E00 + lang * 3 + rng.randrange(3)) for _ in range(20)), f"l{lang:04d}") for i, lang in enumerate(range(1100))] + [(5000, "zz", "l0001")]
+    langs, logp = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(langs) == langid.MAX_LANGS == len(logp) and "l0001" in langs and "l1099" not in langs
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op1_toxicity_fm(spark, sf)
