@@ -143,11 +143,16 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def bag_of(h: np.ndarray) -> bytes:
+    """How many words, and how many pairs of neighbouring words, fall on each of DIMS hash values; 255 for more."""
+    pairs = mixed(h[:-1] * _GOLD + h[1:])
+    return np.minimum(np.concatenate([np.bincount((x % np.uint64(DIMS)).astype(np.int64), minlength=DIMS) for x in (h, pairs)]), 255).astype(np.uint8).tobytes()
+
+
 def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with `key` (equal for texts with the same words; for texts without a word, for
     equal texts; null for null), `sketch` (empty without a word), `size` (the number of words),
-    `short` (their packed hashes, of texts of up to SHORT words) and `bag` (how many words fall on each
-    of DIMS hash values; 255 for more)."""
+    `short` (their packed hashes, of texts of up to SHORT words) and `bag`, their bag_of()."""
 
     def make():
         words = Words()
@@ -161,7 +166,7 @@ def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 sketches.append(sketch(h))
                 sizes.append(len(own))
                 short.append(pack(h) if len(own) <= SHORT else None)
-                bags.append(np.minimum(np.bincount((h % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8).tobytes())
+                bags.append(bag_of(h))
                 ends.append(ends[-1] + len(sketches[-1]))
             flat = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
             return {"key": pa.array(keys, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "size": pa.array(sizes, pa.int32()), "short": pa.array(short, pa.binary()), "bag": pa.array(bags, pa.binary())}
@@ -257,7 +262,7 @@ def screened(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
             n = batch.num_rows
             if n:
                 size = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)]).astype(np.int64)
-                bag = np.concatenate([np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, DIMS) for i in (4, 5)])
+                bag = np.concatenate([np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 2 * DIMS) for i in (4, 5)])
                 fine = possible(size, bag, np.arange(n), np.arange(n, 2 * n), similarity) >= 0
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fine))
 
@@ -325,12 +330,15 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def possible(size: np.ndarray, bag: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Edits that a pair needs at least, by lengths and bags; -1 where that is more than similar() allows. Each edit changes a bag by one word either way."""
+    """Edits that a pair needs at least, by lengths and bags; -1 where that is more than similar() allows. Each edit changes the words of a
+    bag by one either way, and the pairs by two."""
     least = np.empty(len(x), np.int64)
     for lo in range(0, len(x), CHUNK):
         i, j = x[lo : lo + CHUNK], y[lo : lo + CHUNK]
         off = bag[i].astype(np.int16) - bag[j]
-        least[lo : lo + CHUNK] = np.maximum(np.where(off > 0, off, 0).sum(1), np.where(off < 0, -off, 0).sum(1))
+        more, less = np.where(off > 0, off, 0).reshape(-1, 2, DIMS).sum(2), np.where(off < 0, -off, 0).reshape(-1, 2, DIMS).sum(2)
+        each = np.maximum(more, less)
+        least[lo : lo + CHUNK] = np.maximum(each[:, 0], (each[:, 1] + 1) // 2)
     longest = np.maximum(size[x], size[y])
     least = np.maximum(least, longest - np.minimum(size[x], size[y]))
     return np.where(least <= ((1 - similarity) * longest + 1e-9).astype(np.int64), least, -1)
@@ -394,7 +402,7 @@ def large_pairs(rows: DataFrame, bags: DataFrame, similarity: float, nearest: bo
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 i, c, s, p = (v[lo:hi] for v in own)
                 if (c != c[0]).any():
-                    bag = np.frombuffer(b"".join(t.column(4).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, DIMS)
+                    bag = np.frombuffer(b"".join(t.column(4).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, 2 * DIMS)
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in block_pairs(i, c, s, bag, p, similarity, nearest)], names=["a", "b"])
 
         for batch in batches:

@@ -387,6 +387,23 @@ def test_banded_alignment_is_edit_distance():
         assert got == d if d <= most else got > most
 
 
+def test_word_counts_are_a_lower_bound():
+    """Of edits: no pair that is similar is left out by lengths and bags."""
+    rng, w = random.Random(6), neardup.Words()
+    own = []
+    for _ in range(200):
+        a = [f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 60))]
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 4)):
+            b.insert(rng.randrange(len(b) + 1), f"w{rng.randrange(30)}")
+        own += [a, b]
+    size = np.array([len(x) for x in own])
+    bag = np.stack([np.frombuffer(neardup.bag_of(w.hashes(x)), np.uint8) for x in own])
+    even = np.arange(0, len(own), 2)
+    least = neardup.possible(size, bag, even, even + 1, 0.0)
+    assert all(n <= levenshtein(own[i], own[i + 1]) for i, n in zip(even, least, strict=True))
+
+
 def test_sketch_keeps_order():
     """The same k-mers in another order: other values."""
     w = neardup.Words()
