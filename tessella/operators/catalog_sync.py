@@ -83,7 +83,8 @@ def match_moves(index: DataFrame, changes: DataFrame, found: DataFrame) -> DataF
 
 
 def mark_missing(index: DataFrame, found: DataFrame, now: int) -> DataFrame:
-    seen = found.select("path", F.lit(True).alias("__seen"))
+    """index with missing_since null where the walk found the path, else as it is, or now. Each row of the index stays, whatever paths repeat."""
+    seen = found.select("path").distinct().withColumn("__seen", F.lit(True))
     out = index.join(seen, "path", "left")
     return out.withColumn("missing_since", F.when(F.col("__seen"), F.lit(None).cast("bigint")).otherwise(F.coalesce("missing_since", F.lit(now).cast("bigint")))).drop("__seen").select(index.columns)
 
