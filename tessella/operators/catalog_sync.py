@@ -13,7 +13,7 @@ from .timeline import event
 
 
 def reconcile(index: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, id, change) for every path that the index or the walk has.
+    """(path, id, change) for every path that the index or the walk has; rows of equal paths are all told, each with each.
 
     index(id, path, size, mtime_ns, quick_hash, missing_since), found(path, size, mtime_ns, quick_hash). Changes: unchanged, tz_shifted
     (same content, time off by a time zone), changed, reappeared, added, missing, gone (was missing before), renamed_unicode (as it was,

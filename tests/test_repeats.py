@@ -39,3 +39,7 @@ def repeated(spark, sf, tmp_path_factory):
 def test_missing_marks_of_repeated_paths(spark, repeated):
     got, want = both(spark, repeated, "mark_missing")
     assert got == want and len(want) > 300
+
+def test_reconcile_of_repeated_paths(spark, repeated):
+    got, want = both(spark, repeated, "scan_reconcile")
+    assert got == want and len(want) > 300
