@@ -24,6 +24,7 @@ has exactly one path. So a walk goes forward only; the path is read off from its
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
 from dataclasses import dataclass
@@ -33,6 +34,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import map_text, table
@@ -44,10 +46,10 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_TEXT = re.compile(f"[\\x00-\\x7f{LATIN}]*")
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Words kept with their tokens in each Python worker: so many of the latest, and as many from before them.
-CACHE_WORDS = 350_000
+#: Words kept with their tokens in each Python worker: so many of the latest, and as many from before them, each of up to KEPT_LETTERS letters.
+CACHE_WORDS, KEPT_LETTERS = 100_000, 60
 #: Arcs kept once read from the tables.
-KEPT_ARCS = 1_000_000
+KEPT_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,11 +87,22 @@ class Tables:
         return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + sum(map(len, self.labels))
 
     @cached_property
-    def automaton(self) -> Automaton:
-        return Automaton(self)
+    def digest(self) -> str:
+        told = hashlib.sha256(repr((self.labels, self.special, self.whole)).encode())
+        for x in vars(self).values():
+            if isinstance(x, np.ndarray):
+                told.update(x.tobytes())
+        return told.hexdigest()
 
-    def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k != "automaton"}
+    @property
+    def automaton(self) -> Automaton:
+        """That of these tables; the process holds the latest one, so that a Python worker's next tasks and queries neither build nor keep another."""
+        if self.digest not in _held:
+            _held.clear()
+            _held[self.digest] = Automaton(self)
+            gc.collect()
+            gc.freeze()  # the tables hold no cycles; without this, collections walk them again and again
+        return _held[self.digest]
 
 
 def build(tokens: dict[bytes, int], merges: list[tuple[int, int, int]], special: dict[str, int], whole: bool = False) -> Tables:
@@ -141,6 +154,10 @@ def build(tokens: dict[bytes, int], merges: list[tuple[int, int, int]], special:
     return Tables(made, tail, head, *ordered(cuts, np.int32), *ordered(step, np.int32), whole32(fail), whole32(longest), shorter, labels, special, whole)
 
 
+#: The process's automaton by the digest of its tables. Nothing refers back to it: what is frozen goes by its count of references only.
+_held: dict[str, Automaton] = {}
+
+
 class Automaton:
     """Walks the tables. Words met before are kept with their tokens."""
 
@@ -217,6 +234,8 @@ class Automaton:
     def piece(self, word: str) -> tuple[int, ...]:
         found = self.cache.get(word)
         if found is None:
+            if len(word) > KEPT_LETTERS:
+                return self.walk(word.encode())
             if len(self.cache) >= CACHE_WORDS:
                 self.cache, self.older = {}, self.cache
             found = self.cache[word] = self.older.get(word) or self.walk(word.encode())
@@ -264,6 +283,12 @@ def compile_automaton(spec: bytes) -> Automaton:
     return compile_tables(spec).automaton
 
 
+def shared_tables(df: DataFrame, spec: bytes) -> Broadcast:
+    tables = compile_automaton(spec).tables
+    tables.digest  # noqa: B018  worked out here, once
+    return df.sparkSession.sparkContext.broadcast(tables)
+
+
 def tokenize(df: DataFrame, spec: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with ids array<int> and decoded string (what the ids decode to).
 
@@ -271,11 +296,10 @@ def tokenize(df: DataFrame, spec: bytes, text: str = "text", keep: tuple[str, ..
     repeated rows stay. spec: bytes of a tokenizers JSON file, compiled on the driver; its tables
     (Tables.nbytes, about 5 MB for 50,000 tokens) are broadcast.
     """
-    sent = df.sparkSession.sparkContext.broadcast(compile_automaton(spec).tables)
+    sent = shared_tables(df, spec)
 
     def make():
         auto = sent.value.automaton
-        gc.freeze()  # the table and the kept words hold no cycles; without this, collections walk them again and again
         gc.set_threshold(200_000, 50, 100)
 
         def work(texts: list) -> dict:
@@ -295,7 +319,7 @@ def tokenize(df: DataFrame, spec: bytes, text: str = "text", keep: tuple[str, ..
 
 def decode(df: DataFrame, spec: bytes, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with `text`, what an array<int> column decodes to. Null ids: null text."""
-    sent = df.sparkSession.sparkContext.broadcast(compile_automaton(spec).tables)
+    sent = shared_tables(df, spec)
 
     @F.pandas_udf("string")
     def spelled(column):

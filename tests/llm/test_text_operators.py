@@ -43,6 +43,34 @@ def test_bpe_is_the_library(automaton, library):
         assert automaton.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_workers_keep_one_automaton(spark, sf):
+    """However many queries a Python worker has served: what an earlier one compiled is not left behind."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    for _ in range(3):
+        bpe.digests(bpe.tokenize(docs, bpe.tokenizer_file())).collect()
+
+    def count(batches):
+        import gc
+
+        list(batches)
+        gc.unfreeze()
+        found = sum(type(x).__name__ == "Automaton" for x in gc.get_objects())
+        yield pa.RecordBatch.from_pydict({"n": [found]})
+
+    assert docs.select("doc_id").mapInArrow(count, "n bigint").collect()[0]["n"] <= 1
+
+
+def test_kept_words_are_bounded(automaton, monkeypatch):
+    """By their letters too, and with the same tokens as without words kept."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    own = bpe.Automaton(automaton.tables)
+    texts = ["x" * n + " " + str(n) for n in range(1, 200)] + ["ab" * 5000]
+    assert [own.encode(t) for t in texts] == [automaton.encode(t) for t in texts]
+    assert len(own.cache) <= 50 and len(own.older) <= 50 and sum(map(len, [*own.cache, *own.older])) < 100 * 61
+
+
 def test_bpe_small_merges():
     """Against merging pair by pair in order."""
     merges = [("a", "a"), ("a", "b"), ("aa", "ab"), ("b", "a"), ("aa", "aa")]
