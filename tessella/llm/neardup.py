@@ -22,14 +22,16 @@ Buckets. One bucket in FIRST links most classes: all pairs of a bucket of up to
 larger one each node with the least of its part and those with the bucket's least. That is only an
 order of work, no cap: then every two nodes of unlike classes that share any value are compared.
 Pairs whose lengths or word counts alone ask for too many edits are left out before any words are
-fetched, which loses none. First each node meets its most promising partner of another class, so that large groups
-are one class when what is left is aligned. Large buckets are dealt over tasks by (bucket, part) in
-every step: joins, stars and blocks.
+fetched, which loses none. In a large bucket no list of pairs is made, as that grows with the square of the bucket: the bucket is
+dealt in blocks, a block first tells which of its rows have a pair that may be similar, then gets the words of those, aligns the
+pairs inside and tells links only, at most one less than it has rows. A pair that meets in several buckets is aligned in the least of
+them. Large buckets are dealt over tasks by (bucket, part) in every step: joins, stars and blocks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,8 @@ PAIRED = 6
 PART, MOST_LARGE = 256, 10_000
 #: Ids that are broadcast to pick texts by, some tens of MB; more are joined by shuffling.
 MOST_IDS = 1_000_000
-#: Rows of a large bucket that are dealt together, and hash values that words are counted by.
-BLOCK, DIMS = 512, 128
+#: Rows of a large bucket that are dealt together, the same with their words, and hash values that words are counted by.
+BLOCK, ALIGNED, DIMS = 512, 128, 128
 #: One bucket in so many is looked at first.
 FIRST = 10
 #: Texts of up to so many words are also sought by words, which finds all their pairs.
@@ -149,9 +151,18 @@ def bag_of(h: np.ndarray) -> bytes:
     return np.minimum(np.concatenate([np.bincount((x % np.uint64(DIMS)).astype(np.int64), minlength=DIMS) for x in (h, pairs)]), 255).astype(np.uint8).tobytes()
 
 
+def key_of(text: str | None, words: list[str]) -> bytes | None:
+    """Equal for texts with the same words; for texts without a word, for equal texts; null for null."""
+    return None if text is None else xxhash.xxh3_128_digest(b"w" + " ".join(words).encode() if words else b"t" + text.encode("utf-8", "replace"))
+
+
+def keyed(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Kept columns with `key`, as signatures() has it."""
+    return map_text(df, lambda: lambda texts: {"key": pa.array([key_of(t, WORD.findall((t or "").lower())) for t in texts], pa.binary())}, "key binary", text, keep)
+
+
 def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns with `key` (equal for texts with the same words; for texts without a word, for
-    equal texts; null for null), `sketch` (empty without a word), `size` (the number of words),
+    """Kept columns with `key`, their key_of(), `sketch` (empty without a word), `size` (the number of words),
     `short` (their packed hashes, of texts of up to SHORT words) and `bag`, their bag_of()."""
 
     def make():
@@ -161,7 +172,7 @@ def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
             keys, sketches, ends, sizes, short, bags = [], [], [0], [], [], []
             for t in texts:
                 own = WORD.findall((t or "").lower())
-                keys.append(None if t is None else xxhash.xxh3_128_digest(b"w" + " ".join(own).encode() if own else b"t" + t.encode("utf-8", "replace")))
+                keys.append(key_of(t, own))
                 h = words.hashes(own)
                 sketches.append(sketch(h))
                 sizes.append(len(own))
@@ -250,10 +261,22 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return bounded_distance(back[: len(a)].tolist(), back[len(a) :].tolist(), most) <= most
 
 
+def ids_of(pairs: DataFrame) -> DataFrame:
+    """(id) of the ends of pairs(a, b)."""
+    return small(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), MOST_IDS)
+
+
+def words_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words) of docs(doc_id, text) whose ids are in small(ids): each text of an id once. Where the ids are few, no text is shuffled."""
+    words = packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi"))
+    # Dealt by id alone, so that the joins by id need no further shuffle.
+    return cut(words).repartition("id").dropDuplicates(["id", "words"])
+
+
 def screened(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) but for those that by their lengths and bags(id, size, bag) cannot be similar."""
     pairs = cut(pairs)
-    bags = bags.join(small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), MOST_IDS), "id", "left_semi")
+    bags = bags.join(ids_of(pairs), "id", "left_semi")
     side = lambda n: bags.select(F.col("id").alias(n), F.col("size").alias(f"n{n}"), F.col("bag").alias(f"w{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "wa", "wb")
 
@@ -270,10 +293,9 @@ def screened(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of docs(doc_id, text) whose words align. Where the ids are few, no text is shuffled."""
+    """The pairs (a, b) of docs(doc_id, text) whose words align."""
     pairs = cut(pairs)
-    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), MOST_IDS)
-    words = cut(packed(docs.withColumnRenamed("doc_id", "id").filter("text IS NOT NULL").join(ids, "id", "left_semi"))).dropDuplicates(["id", "words"])
+    words = words_of(docs, ids_of(pairs))
     left = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
@@ -302,10 +324,9 @@ def dealt_join(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.join(told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["bucket", "part"])
 
 
-def told(rows: DataFrame, over: int = 0) -> DataFrame:
-    """rows(bucket, id, comp, ...) of the buckets of more than `over` rows that hold unlike components, with n, the bucket's rows, its least
-    row and its part."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "comp", "size")).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"lo <> hi AND n > {over}")
+def told(rows: DataFrame) -> DataFrame:
+    """rows(bucket, id, comp, ...) of the buckets that hold unlike components, with n, the bucket's rows, its least row and its part."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "comp", "size")).alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     return cut(dealt_join(rows, cut(sizes.select("bucket", "n", "least"))))
 
 
@@ -344,71 +365,89 @@ def possible(size: np.ndarray, bag: np.ndarray, x: np.ndarray, y: np.ndarray, si
     return np.where(least <= ((1 - similarity) * longest + 1e-9).astype(np.int64), least, -1)
 
 
-def block_pairs(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bag: np.ndarray, part: np.ndarray, similarity: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block that can be similar, of unlike components; with `nearest` only each row's pair of least bound.
-    Rows of part 0 are compared with those of part 1, or with one another if there is no part 1."""
+def met(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bag: np.ndarray, part: np.ndarray, similarity: float, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that can be similar, of unlike components, as places of both and the edits they need at least.
+    Rows of part 0 are compared with those of part 1, or with one another if there is no part 1; those in `early` are not."""
     order = np.lexsort((ids, size))
     ids, comp, size, bag, part = ids[order], comp[order], size[order], bag[order], part[order]
-    across, n = bool(part.any()), len(ids)
-    closest, partner = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-    xs, ys = [], []
+    across, xs, ys, bounds = bool(part.any()), [], [], []
     # Rows are in order of their lengths: those that a row can be similar to follow it closely.
     last = np.searchsorted(size, size / similarity + 1e-6, "right")
-    for i in range(n):
+    for i in range(len(ids)):
         j = np.arange(i + 1, last[i])
         j = j[(comp[j] != comp[i]) & (ids[j] != ids[i])]
         if across:
             j = j[part[j] != part[i]]
-        if not len(j):
-            continue
-        bound = possible(size, bag, np.full(len(j), i), j, similarity)
-        j, bound = j[bound >= 0], bound[bound >= 0]
-        if not len(j):
-            continue
-        if nearest:
-            at = bound.argmin()
-            if bound[at] < closest[i]:
-                closest[i], partner[i] = bound[at], j[at]
-            less = bound < closest[j]
-            closest[j[less]], partner[j[less]] = bound[less], i
-        else:
-            xs.append(np.full(len(j), i))
-            ys.append(j)
-    if nearest:
-        xs, ys = [np.flatnonzero(partner >= 0)], [partner[partner >= 0]]
-    x, y = (np.concatenate(v) if v else np.zeros(0, int) for v in (xs, ys))
-    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        if early is not None:
+            j = j[~early[order[i], order[j]]]
+        if len(j):
+            bound = possible(size, bag, np.full(len(j), i), j, similarity)
+            fine = bound >= 0
+            xs.append(np.full(fine.sum(), order[i]))
+            ys.append(order[j[fine]])
+            bounds.append(bound[fine])
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, bounds))
+
+
+def met_before(bucket: int, buckets: list[np.ndarray]) -> np.ndarray:
+    """Which two rows of a block share a bucket less than its own, by the buckets of each."""
+    n = len(buckets)
+    row, flat = np.repeat(np.arange(n), [len(x) for x in buckets]), np.concatenate(buckets)
+    row, flat = row[flat < bucket], flat[flat < bucket]
+    names, column = np.unique(flat, return_inverse=True)
+    out = np.zeros((n, n), bool)
+    for lo in range(0, len(names), CHUNK):
+        own = (column >= lo) & (column < lo + CHUNK)
+        held = np.zeros((n, min(CHUNK, len(names) - lo)), np.float32)
+        held[row[own], column[own] - lo] = 1
+        out |= held @ held.T > 0
+    return out
 
 
-def large_pairs(rows: DataFrame, bags: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of unlike components in the told() buckets of more than PAIRED rows, but for those that by their lengths and bags
-    cannot be similar; with `nearest` only each row's most promising one.
+def links_in(ids: np.ndarray, comp: np.ndarray, words: list[np.ndarray], part: np.ndarray, early: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a block that join all components which its pairs join: the most promising pairs are aligned first, and none of one component."""
+    size, bag = np.array([len(w) for w in words]), np.stack([np.frombuffer(bag_of(w), np.uint8) for w in words])
+    x, y, bound = met(ids, comp, size, bag, part, similarity, early)
+    root = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for at in np.argsort(bound, kind="stable").tolist():
+        i, j = int(x[at]), int(y[at])
+        p, q = top(int(comp[i])), top(int(comp[j]))
+        if p != q and similar(words[i], words[j], similarity):
+            root[p] = q
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
 
-    A bucket is dealt in parts of about BLOCK rows, and each two parts meet in one block, so a block is bounded and none is left out.
-    """
-    many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct())
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = many.join(bags, "id").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What work() makes of each block of rows(bucket, id, n, ...), n being a bucket's rows. A bucket is dealt in parts of about `block` rows,
+    and each two parts meet in one block, so a block is bounded and none is left out. work() gets the rows with their part in the block."""
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    blocks = blocks.select(cell.alias("cell"), "id", "comp", "size", "bag", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("part"))
-    blocks = blocks.repartition("cell").sortWithinPartitions("cell")
+    dealt = dealt.withColumn("cell", cell).withColumn("part", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("parts", "own", "other", "n")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def made(t: pa.Table, edges: np.ndarray):
-            own = [t.column(i).to_numpy() for i in (1, 2, 3, 5)]
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                i, c, s, p = (v[lo:hi] for v in own)
-                if (c != c[0]).any():
-                    bag = np.frombuffer(b"".join(t.column(4).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, 2 * DIMS)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in block_pairs(i, c, s, bag, p, similarity, nearest)], names=["a", "b"])
+                own = t.slice(lo, hi - lo)
+                comp = own.column("comp").to_numpy()
+                if (comp != comp[0]).any():
+                    yield work(own)
 
         for batch in batches:
             if batch.num_rows:
                 t = pa.Table.from_batches([*held, batch]).combine_chunks()
-                cells = t.column(0).to_numpy()
+                cells = t.column("cell").to_numpy()
                 # The last cell may go on in the next batch.
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1]).astype(int)
                 yield from made(t, edges)
@@ -417,7 +456,48 @@ def large_pairs(rows: DataFrame, bags: DataFrame, similarity: float, nearest: bo
             t = pa.Table.from_batches(held).combine_chunks()
             yield from made(t, np.array([0, t.num_rows]))
 
-    return blocks.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+
+
+def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all components which pairs in the told() buckets of more than PAIRED rows join.
+
+    Three steps, each over blocks and each telling rows, not pairs: rows with a pair that may be similar; those with one that meets in no
+    lesser bucket; links, by the words of the rows that are left.
+    """
+
+    def numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
+        return [t.column(n).to_numpy() for n in names]
+
+    def early(t: pa.Table) -> np.ndarray | None:
+        return met_before(t.column("bucket")[0].as_py(), [np.array(x, np.int64) for x in t.column("buckets").to_pylist()]) if "buckets" in t.column_names else None
+
+    def concerned(t: pa.Table) -> pa.RecordBatch:
+        ids, comp, size, part = numbers(t, "id", "comp", "size", "part")
+        bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, 2 * DIMS)
+        x, y, _ = met(ids, comp, size, bag, part, similarity, early(t))
+        at = np.unique(np.concatenate([x, y]))
+        return pa.RecordBatch.from_arrays([pa.array(v[at], pa.int64()) for v in (*numbers(t, "bucket"), ids, comp)], names=["bucket", "id", "comp"])
+
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        ids, comp, part = numbers(t, "id", "comp", "part")
+        out = links_in(ids, comp, [unpack(w) for w in t.column("words").to_pylist()], part, early(t), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def counted(left: DataFrame) -> DataFrame:
+        return left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+
+    row = "bucket bigint, id bigint, comp bigint"
+    many = rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct()
+    some = cut(by_block(many.join(bags, "id"), BLOCK, concerned, row).distinct())
+    buckets = cut(some.groupBy("id").agg(F.collect_set("bucket").alias("buckets")))  # bounded: the values of an id's texts
+    once = cut(by_block(counted(some).join(bags, "id").join(buckets, "id"), BLOCK, concerned, row).distinct())
+    release(docs.sparkSession)
+    words = words_of(docs, small(cut(once.select("id").distinct()), MOST_IDS))
+    found = cut(by_block(counted(once).join(buckets, "id").join(words, "id"), ALIGNED, linked, "a bigint, b bigint").distinct())
+    del many, some, buckets, once, words
+    release(docs.sparkSession)
+    return found
 
 
 def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -482,9 +562,9 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     all their texts, so its rows share a class. An empty table gives no rows.
     """
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = cut(signatures(docs))
+    signed = cut(keyed(docs))
     known = signed.filter("doc_id IS NOT NULL AND key IS NOT NULL")
-    nodes = nodes_of(known)
+    nodes = nodes_of(signatures(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")))
     release(df.sparkSession)
     sketched = nodes.filter(F.size("sketch") > 0)
     shared = shared_buckets(sketched.select("id", "sketch", "size", "short"), similarity)
@@ -497,18 +577,11 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     near = verified(done, docs, similarity)
     del first
     release(df.sparkSession)
-    # Each row of a large bucket meets the most promising of another class, then, as few are left apart, all that can be similar.
-    for nearest in (True, False):
-        linked = with_roots(shared, near)
-        rows = told(linked, 0 if nearest else PAIRED)
-        pairs = large_pairs(rows, bags, similarity, nearest)
-        if nearest:
-            pairs = pairs.unionByName(screened(small_pairs(rows, similarity), bags, similarity)).distinct()
-        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        near = near.unionByName(verified(pairs, docs, similarity))
-        done = done.unionByName(pairs)
-        del linked, rows
-        release(df.sparkSession)
+    rows = told(with_roots(shared, near))
+    pairs = cut(screened(small_pairs(rows, similarity).join(done, ["a", "b"], "left_anti"), bags, similarity))
+    near = near.unionByName(verified(pairs, docs, similarity)).unionByName(large_links(rows, bags, docs, similarity))
+    del rows, pairs, shared, bags, sketched
+    release(df.sparkSession)
     # Copies: each id hangs on its key's least id. These links need no check.
     copied = nodes.filter("n > 1").select(F.col("key").alias("bucket"), "n", F.col("id").alias("head"))
     copies = dealt_join(known.select(F.col("key").alias("bucket"), F.col("doc_id").alias("id")), copied).filter("head <> id")

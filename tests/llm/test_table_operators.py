@@ -320,3 +320,34 @@ def test_mixing_over_frames_has_the_drivers_rounds(spark, monkeypatch):
         assert a and not b and x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-9 for k in x)
         if told is None:
             assert set(x.values()) == {1.0}
+
+
+def test_large_bucket_tells_links_not_pairs(spark):
+    """A bucket of texts that are all alike, and of unlike ones that only words can tell apart, in several blocks: fewer links than rows."""
+    base, n = [f"w{i}" for i in range(60)], neardup.ALIGNED + 40
+    texts = [(i, " ".join([*base[: i % 50], f"x{i}", *base[i % 50 + 1 :]])) for i in range(n)]
+    texts += [(1000 + i, " ".join(base[:40] + [f"y{i}x{j}" for j in range(20)])) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bags = neardup.signatures(docs).select(F.col("doc_id").alias("id"), "size", "bag")
+    both = bags.select("id").join(spark.createDataFrame([(1,), (2,)], "bucket bigint"))
+    rows = both.withColumn("comp", F.col("id")).withColumn("n", F.lit(len(texts)).cast("bigint"))
+    links = [(r["a"], r["b"]) for r in neardup.large_links(rows, bags, docs, neardup.SIMILARITY).collect()]
+    assert all(b < 1000 for _, b in links) and len(links) < 4 * n
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root) == {0}
+
+
+def test_pairs_meet_in_their_least_bucket():
+    early = neardup.met_before(5, [np.array([3, 5, 9]), np.array([5, 9, 3]), np.array([5, 9]), np.array([4, 5])])
+    assert early[0, 1] and early[1, 0] and not early[0, 2] and not early[0, 3] and not early[2, 3]
+    rng = np.random.default_rng(1)
+    words = [rng.integers(1, 1 << 60, 50, dtype=np.uint64) for _ in range(3)]
+    own = [words[0], words[0].copy(), words[0].copy(), words[1], words[2]]
+    own[1][:5], own[2][5:10] = words[1][:5], words[1][5:10]
+    ids, part, none = np.array([4, 7, 2, 9, 11]), np.zeros(5, int), np.zeros((5, 5), bool)
+    assert len(neardup.links_in(ids, ids, own, part, none, 0.8)) == 2
+    none[:3, :3] = True
+    assert neardup.links_in(ids, ids, own, part, none, 0.8) == []
