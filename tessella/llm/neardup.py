@@ -24,8 +24,10 @@ order of work, no cap: then every two nodes of unlike classes that share any val
 Pairs whose lengths or word counts alone ask for too many edits are left out before any words are
 fetched, which loses none. In a large bucket no list of pairs is made, as that grows with the square of the bucket: the bucket is
 dealt in blocks, a block first tells which of its rows have a pair that may be similar, then gets the words of those, aligns the
-pairs inside and tells links only, at most one less than it has rows. A pair that meets in several buckets is aligned in the least of
-them. Large buckets are dealt over tasks by (bucket, part) in every step: joins, stars and blocks.
+pairs inside and tells links only, at most one less than it has rows. A pair that meets in several buckets is looked at in the least of
+them, so a row is told in few. Rows of the bucket's main component are dealt in parts that meet the other rows, not one another: rows in
+blocks grow with the bucket, times the parts (of BLOCK rows) that the rows outside its main component fill. Large buckets are dealt over
+tasks by (bucket, part) in every step: joins, stars and blocks.
 """
 
 from __future__ import annotations
@@ -425,14 +427,36 @@ def links_in(ids: np.ndarray, comp: np.ndarray, words: list[np.ndarray], part: n
     return out
 
 
-def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """What work() makes of each block of rows(bucket, id, n, ...), n being a bucket's rows. A bucket is dealt in parts of about `block` rows,
-    and each two parts meet in one block, so a block is bounded and none is left out. work() gets the rows with their part in the block."""
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.withColumn("cell", cell).withColumn("part", F.when(F.col("own") > F.col("other"), 1).otherwise(0)).drop("parts", "own", "other", "n")
+def in_cells(rows: DataFrame, block: int) -> DataFrame:
+    """rows(bucket, id, comp, ...) with `cell`, the block that a row is in, and `part`, its side there.
+
+    A bucket of up to `block` rows is one block. In a larger one the rows of its main component, the one of most rows, are never dealt to meet
+    one another: they are dealt in parts of about `block` rows, and so are all others; each part of the one meets each of the others, and each
+    two parts of the others meet. So while the rows outside the main component fit a part, a row of it is in one block, however large the bucket.
+    """
+    counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("n") > block)
+    parts = lambda k: F.ceil(k / block).cast("int")
+    large = sizes.select("bucket", "comps", F.col("main.comp").alias("main"), parts(F.col("main.k")).alias("into"), parts(F.col("n") - F.col("main.k")).alias("others")).filter("comps > 1")
+    dealt = rows.join(small(cut(large), MOST_IDS), "bucket", "left")
+    inside = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(inside, F.col("into")).otherwise(F.col("others"))).cast("int")
+    at = lambda kind, x, y, part: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), part.cast("int").alias("part"))
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    across = each("into", lambda p: at(1, p, own, F.lit(1)))
+    among = each("others", lambda p: at(2, F.least(own, p), F.greatest(own, p), own > p))
+    cells = F.when(F.col("main").isNull(), F.array(at(0, F.lit(0), F.lit(0), F.lit(0))))
+    cells = cells.when(inside, each("others", lambda p: at(1, own, p, F.lit(0)))).when(F.col("comps") > 2, F.concat(across, among)).otherwise(across)
+    dealt = dealt.withColumn("to", F.explode(cells)).withColumn("cell", F.xxhash64("bucket", "to.kind", "to.x", "to.y")).withColumn("part", F.col("to.part"))
+    return dealt.drop("to", "comps", "main", "into", "others")
+
+
+def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """What work() makes of each block of rows(bucket, id, comp, ...), joined by id with the frames beside. Blocks are those of in_cells(): each is
+    bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the rows with their part in the block."""
+    dealt = in_cells(rows, block)
+    for more in beside:
+        dealt = dealt.join(more, "id")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -462,15 +486,15 @@ def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBa
 def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join all components which pairs in the told() buckets of more than PAIRED rows join.
 
-    Three steps, each over blocks and each telling rows, not pairs: rows with a pair that may be similar; those with one that meets in no
-    lesser bucket; links, by the words of the rows that are left.
+    Two steps, each over blocks and each looking at a pair in the least bucket that both are in: rows with a pair that may be similar are told,
+    not pairs; then links, by the words of those rows.
     """
 
     def numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
         return [t.column(n).to_numpy() for n in names]
 
-    def early(t: pa.Table) -> np.ndarray | None:
-        return met_before(t.column("bucket")[0].as_py(), [np.array(x, np.int64) for x in t.column("buckets").to_pylist()]) if "buckets" in t.column_names else None
+    def early(t: pa.Table) -> np.ndarray:
+        return met_before(t.column("bucket")[0].as_py(), [np.array(x, np.int64) for x in t.column("buckets").to_pylist()])
 
     def concerned(t: pa.Table) -> pa.RecordBatch:
         ids, comp, size, part = numbers(t, "id", "comp", "size", "part")
@@ -484,18 +508,16 @@ def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: f
         out = links_in(ids, comp, [unpack(w) for w in t.column("words").to_pylist()], part, early(t), similarity)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def counted(left: DataFrame) -> DataFrame:
-        return left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    def buckets_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded: the values of an id's texts
 
-    row = "bucket bigint, id bigint, comp bigint"
-    many = rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp", "n").distinct()
-    some = cut(by_block(many.join(bags, "id"), BLOCK, concerned, row).distinct())
-    buckets = cut(some.groupBy("id").agg(F.collect_set("bucket").alias("buckets")))  # bounded: the values of an id's texts
-    once = cut(by_block(counted(some).join(bags, "id").join(buckets, "id"), BLOCK, concerned, row).distinct())
+    many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp").distinct())
+    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", (bags, buckets_of(many))).distinct())
     release(docs.sparkSession)
-    words = words_of(docs, small(cut(once.select("id").distinct()), MOST_IDS))
-    found = cut(by_block(counted(once).join(buckets, "id").join(words, "id"), ALIGNED, linked, "a bigint, b bigint").distinct())
-    del many, some, buckets, once, words
+    # A pair is told in its least bucket only, so that is also the least of those that its rows are told in.
+    words = words_of(docs, small(cut(some.select("id").distinct()), MOST_IDS))
+    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", (buckets_of(some), words)).distinct())
+    del many, some, words
     release(docs.sparkSession)
     return found
 

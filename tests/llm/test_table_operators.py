@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,22 @@ def test_pairs_meet_in_their_least_bucket():
     assert len(neardup.links_in(ids, ids, own, part, none, 0.8)) == 2
     none[:3, :3] = True
     assert neardup.links_in(ids, ids, own, part, none, 0.8) == []
+
+
+def test_rows_in_blocks_grow_with_the_bucket(spark):
+    """One component of 2,000 rows and five rows beside it, in twelve buckets: a row is in about one block;
+    each two rows of unlike components meet. Where no component is large, each two meet all the same."""
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        ids, comp, part = (t.column(n).to_pylist() for n in ("id", "comp", "part"))
+        out = {(t.column("bucket")[0].as_py(), min(i, j), max(i, j)) for i, c, p in zip(ids, comp, part) for j, d, q in zip(ids, comp, part) if c != d and (p != q or not any(part))}
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["bucket", "a", "b"])
+
+    def all_rows(t: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([t.column("id").combine_chunks()], names=["id"])
+
+    main = spark.range(12).selectExpr("id AS bucket").crossJoin(spark.range(2_005).selectExpr("id", "if(id < 2000, 0, id) AS comp", "2005L AS n"))
+    assert neardup.by_block(main, 64, all_rows, "id bigint").count() < 1.3 * 12 * 2_005
+    some = spark.range(150).selectExpr("0L AS bucket", "id", "cast(if(id < 70, 0, id div 2) AS bigint) AS comp", "150L AS n").unionByName(spark.range(40).selectExpr("1L AS bucket", "id", "id AS comp", "40L AS n"))
+    got = sorted(tuple(r) for r in neardup.by_block(some, 16, pairs, "bucket bigint, a bigint, b bigint").distinct().collect())
+    comp = [0 if i < 70 else i // 2 for i in range(150)]
+    assert got == [(0, i, j) for i in range(150) for j in range(i + 1, 150) if comp[i] != comp[j]] + [(1, i, j) for i in range(40) for j in range(i + 1, 40)]
