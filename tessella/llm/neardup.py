@@ -451,12 +451,12 @@ def in_cells(rows: DataFrame, block: int) -> DataFrame:
     return dealt.drop("to", "comps", "main", "into", "others")
 
 
-def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """What work() makes of each block of rows(bucket, id, comp, ...), joined by id with the frames beside. Blocks are those of in_cells(): each is
+def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: DataFrame | None = None) -> DataFrame:
+    """What work() makes of each block of rows(bucket, id, comp, ...), joined by id with the frame beside. Blocks are those of in_cells(): each is
     bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the rows with their part in the block."""
     dealt = in_cells(rows, block)
-    for more in beside:
-        dealt = dealt.join(more, "id")
+    if beside is not None:
+        dealt = dealt.join(beside, "id")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -512,11 +512,11 @@ def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: f
         return rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded: the values of an id's texts
 
     many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp").distinct())
-    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", (bags, buckets_of(many))).distinct())
+    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", bags.join(buckets_of(many), "id")).distinct())
     release(docs.sparkSession)
     # A pair is told in its least bucket only, so that is also the least of those that its rows are told in.
     words = words_of(docs, small(cut(some.select("id").distinct()), MOST_IDS))
-    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", (buckets_of(some), words)).distinct())
+    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", words.join(buckets_of(some), "id")).distinct())
     del many, some, words
     release(docs.sparkSession)
     return found
