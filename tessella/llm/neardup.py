@@ -427,18 +427,23 @@ def links_in(ids: np.ndarray, comp: np.ndarray, words: list[np.ndarray], part: n
     return out
 
 
-def in_cells(rows: DataFrame, block: int) -> DataFrame:
-    """rows(bucket, id, comp, ...) with `cell`, the block that a row is in, and `part`, its side there.
-
-    A bucket of up to `block` rows is one block. In a larger one the rows of its main component, the one of most rows, are never dealt to meet
-    one another: they are dealt in parts of about `block` rows, and so are all others; each part of the one meets each of the others, and each
-    two parts of the others meet. So while the rows outside the main component fit a part, a row of it is in one block, however large the bucket.
-    """
+def with_main(rows: DataFrame, block: int) -> DataFrame:
+    """rows(bucket, id, comp) with what in_cells() deals a bucket of more than `block` rows by: the number of its components, its main one, that of
+    most rows, and the parts that the rows of this one and all others fill; nulls in other buckets."""
     counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     sizes = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("n") > block)
     parts = lambda k: F.ceil(k / block).cast("int")
     large = sizes.select("bucket", "comps", F.col("main.comp").alias("main"), parts(F.col("main.k")).alias("into"), parts(F.col("n") - F.col("main.k")).alias("others")).filter("comps > 1")
-    dealt = rows.join(small(cut(large), MOST_IDS), "bucket", "left")
+    return rows.join(small(cut(large), MOST_IDS), "bucket", "left")
+
+
+def in_cells(dealt: DataFrame) -> DataFrame:
+    """with_main() rows with `cell`, the block that a row is in, and `part`, its side there.
+
+    A bucket of up to the block's rows is one block. In a larger one the rows of its main component are never dealt to meet one another: they are
+    dealt in parts of about as many rows, and so are all others; each part of the one meets each of the others, and each two parts of the others
+    meet. So while the rows outside the main component fit a part, a row of it is in one block, however large the bucket.
+    """
     inside = F.col("comp") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(inside, F.col("into")).otherwise(F.col("others"))).cast("int")
     at = lambda kind, x, y, part: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), part.cast("int").alias("part"))
@@ -451,12 +456,14 @@ def in_cells(rows: DataFrame, block: int) -> DataFrame:
     return dealt.drop("to", "comps", "main", "into", "others")
 
 
-def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: DataFrame | None = None) -> DataFrame:
-    """What work() makes of each block of rows(bucket, id, comp, ...), joined by id with the frame beside. Blocks are those of in_cells(): each is
-    bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the rows with their part in the block."""
-    dealt = in_cells(rows, block)
-    if beside is not None:
-        dealt = dealt.join(beside, "id")
+def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: DataFrame) -> DataFrame:
+    """What work() makes of each block of rows(bucket, id, comp), none of them twice, with the columns of beside(id, ...) and `buckets`, all of the
+    id's. Blocks are those of in_cells(): each is bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the
+    rows with their part in the block. An id is joined once, then dealt to its buckets and blocks."""
+    placed = F.struct("bucket", "comps", "main", "into", "others")
+    of = with_main(rows, block).groupBy("id", "comp").agg(F.collect_set("bucket").alias("buckets"), F.collect_list(placed).alias("at"))  # bounded: the values of an id's texts
+    both = of.join(beside, "id").withColumn("at", F.explode("at"))
+    dealt = in_cells(both.select(*[c for c in both.columns if c != "at"], "at.*"))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -508,15 +515,12 @@ def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: f
         out = links_in(ids, comp, [unpack(w) for w in t.column("words").to_pylist()], part, early(t), similarity)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def buckets_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # bounded: the values of an id's texts
-
     many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp").distinct())
-    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", bags.join(buckets_of(many), "id")).distinct())
+    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", bags).distinct())
     release(docs.sparkSession)
     # A pair is told in its least bucket only, so that is also the least of those that its rows are told in.
     words = words_of(docs, small(cut(some.select("id").distinct()), MOST_IDS))
-    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", words.join(buckets_of(some), "id")).distinct())
+    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", words).distinct())
     del many, some, words
     release(docs.sparkSession)
     return found

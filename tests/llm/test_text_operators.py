@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,6 +538,33 @@ def test_large_buckets_lose_no_link(spark):
     assert got == brute_classes(rows)
 
 
+def rows_of_joins_on_id(plan) -> int:
+    """Rows that the joins on id of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_of_joins_on_id(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return rows_of_joins_on_id(plan.plan())
+    own = "Join" in plan.nodeName() and plan.simpleString(99).split(" ")[1].startswith("[id#")
+    below = plan.children()
+    return (plan.metrics().apply("numOutputRows").value() if own else 0) + sum(rows_of_joins_on_id(below.apply(i)) for i in range(below.length()))
+
+
+def test_what_is_beside_an_id_is_joined_once(spark):
+    """Sixty ids in forty buckets, each with rows of two components: joins make a row an id, and each bucket is met whole."""
+    rows = spark.sql("SELECT b.id AS bucket, i.id, i.id % 2 AS comp FROM range(40) b CROSS JOIN range(60) i")
+    beside = spark.range(60).selectExpr("id", "id * 3 AS size")
+
+    def work(t):
+        return pa.RecordBatch.from_pydict({"bucket": [t.column("bucket")[0].as_py()], "id": [t.column("id")[0].as_py()], "n": [t.num_rows]})
+
+    for block, n in ((100, 60), (8, None)):
+        got = neardup.by_block(rows, block, work, "bucket bigint, id bigint, n bigint", beside)
+        met = got.collect()
+        assert {r["bucket"] for r in met} == set(range(40)) and (n is None or [r["n"] for r in met] == [n] * 40)
+        assert n is not None or len(met) == 40 * 4 * 4
+        assert rows_of_joins_on_id(got._jdf.queryExecution().executedPlan()) == 60
+
+
 def test_small_buckets_are_not_thinned(spark):
     """Texts like a middle member of a class only, not like its least or greatest id."""
     rows = middles(11, 100)
