@@ -26,8 +26,9 @@ fetched, which loses none. In a large bucket no list of pairs is made, as that g
 dealt in blocks, a block first tells which of its rows have a pair that may be similar, then gets the words of those, aligns the
 pairs inside and tells links only, at most one less than it has rows. A pair that meets in several buckets is looked at in the least of
 them, so a row is told in few. Rows of the bucket's main component are dealt in parts that meet the other rows, not one another: rows in
-blocks grow with the bucket, times the parts (of BLOCK rows) that the rows outside its main component fill. Large buckets are dealt over
-tasks by (bucket, part) in every step: joins, stars and blocks.
+blocks grow with the bucket, times the parts (of BLOCK rows) that the rows outside its main component fill. Large buckets of one main
+component are merged first, which holds each id once, where that makes fewer rows in blocks; only pairs that share a bucket are looked at.
+Large buckets are dealt over tasks by (bucket, part) in every step: joins, stars and blocks.
 """
 
 from __future__ import annotations
@@ -391,12 +392,14 @@ def met(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, bag: np.ndarray, pa
     return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, bounds))
 
 
-def met_before(bucket: int, buckets: list[np.ndarray]) -> np.ndarray:
-    """Which two rows of a block share a bucket less than its own, by the buckets of each."""
+def sharing(buckets: list[np.ndarray]) -> np.ndarray:
+    """Which two rows share a bucket, by the buckets of each."""
     n = len(buckets)
     row, flat = np.repeat(np.arange(n), [len(x) for x in buckets]), np.concatenate(buckets)
-    row, flat = row[flat < bucket], flat[flat < bucket]
-    names, column = np.unique(flat, return_inverse=True)
+    names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # A bucket of one row is shared with none.
+    column, row = (np.cumsum(times > 1) - 1)[column[times[column] > 1]], row[times[column] > 1]
+    names = names[times > 1]
     out = np.zeros((n, n), bool)
     for lo in range(0, len(names), CHUNK):
         own = (column >= lo) & (column < lo + CHUNK)
@@ -406,6 +409,11 @@ def met_before(bucket: int, buckets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def met_before(bucket: int, buckets: list[np.ndarray]) -> np.ndarray:
+    """Which two rows of a block share a bucket less than its own, by the buckets of each."""
+    return sharing([x[x < bucket] for x in buckets])
+
+
 def links_in(ids: np.ndarray, comp: np.ndarray, words: list[np.ndarray], part: np.ndarray, early: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a block that join all components which its pairs join: the most promising pairs are aligned first, and none of one component."""
     size, bag = np.array([len(w) for w in words]), np.stack([np.frombuffer(bag_of(w), np.uint8) for w in words])
@@ -427,6 +435,24 @@ def links_in(ids: np.ndarray, comp: np.ndarray, words: list[np.ndarray], part: n
     return out
 
 
+def merged(rows: DataFrame, block: int) -> DataFrame:
+    """rows(bucket, id, comp) of the buckets that hold unlike components, those of one main component as one bucket (under the least name) where
+    that makes no more rows in blocks than they make apart. Each two rows that share a bucket still do; rows of merged ones may share no other."""
+    counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("most"))
+    mains = cut(sizes.select("bucket", F.col("most.comp").alias("main"), F.col("most.k").alias("k"), (F.col("n") - F.col("most.k")).alias("m")).filter("m > 0"))
+    parts = lambda k: F.ceil(F.col(k) / block)
+    # As in_cells() deals k rows of a main component and m others.
+    cost = F.when(F.col("k") + F.col("m") <= block, F.col("k") + F.col("m")).otherwise(F.col("k") * parts("m") + F.col("m") * (parts("k") + parts("m")))
+    named = cut(rows.join(small(mains.select("bucket", "main"), MOST_IDS), "bucket"))
+    once = cut(named.select("main", "id", "comp").distinct())
+    inside = F.col("comp") == F.col("main")
+    together = once.groupBy("main").agg(F.count(F.when(inside, 1)).alias("k"), F.count(F.when(~inside, 1)).alias("m")).select("main", cost.alias("together"))
+    apart = mains.groupBy("main").agg(F.min("bucket").alias("least"), F.sum(cost).alias("apart"))
+    chosen = small(cut(apart.join(together, "main").filter("together <= apart").select("main", "least")), MOST_IDS)
+    return once.join(chosen, "main").select(F.col("least").alias("bucket"), "id", "comp").unionByName(named.join(chosen, "main", "left_anti").select("bucket", "id", "comp"))
+
+
 def with_main(rows: DataFrame, block: int) -> DataFrame:
     """rows(bucket, id, comp) with what in_cells() deals a bucket of more than `block` rows by: the number of its components, its main one, that of
     most rows, and the parts that the rows of this one and all others fill; nulls in other buckets."""
@@ -456,13 +482,13 @@ def in_cells(dealt: DataFrame) -> DataFrame:
     return dealt.drop("to", "comps", "main", "into", "others")
 
 
-def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: DataFrame) -> DataFrame:
-    """What work() makes of each block of rows(bucket, id, comp), none of them twice, with the columns of beside(id, ...) and `buckets`, all of the
-    id's. Blocks are those of in_cells(): each is bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the
+def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBatch], schema: str, beside: DataFrame | None = None) -> DataFrame:
+    """What work() makes of each block of rows(bucket, id, comp), none of them twice, with the columns of beside(id, ...), if any, and `buckets`, all
+    of the id's. Blocks are those of in_cells(): each is bounded, and each two rows of a bucket that are of unlike components meet in one. work() gets the
     rows with their part in the block. An id is joined once, then dealt to its buckets and blocks."""
     placed = F.struct("bucket", "comps", "main", "into", "others")
     of = with_main(rows, block).groupBy("id", "comp").agg(F.collect_set("bucket").alias("buckets"), F.collect_list(placed).alias("at"))  # bounded: the values of an id's texts
-    both = of.join(beside, "id").withColumn("at", F.explode("at"))
+    both = (of if beside is None else of.join(beside, "id")).withColumn("at", F.explode("at"))
     dealt = in_cells(both.select(*[c for c in both.columns if c != "at"], "at.*"))
 
     def run(batches):
@@ -493,35 +519,38 @@ def by_block(rows: DataFrame, block: int, work: Callable[[pa.Table], pa.RecordBa
 def large_links(rows: DataFrame, bags: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join all components which pairs in the told() buckets of more than PAIRED rows join.
 
-    Two steps, each over blocks and each looking at a pair in the least bucket that both are in: rows with a pair that may be similar are told,
-    not pairs; then links, by the words of those rows.
+    Two steps, each over blocks of the merged() buckets and each looking at a pair that shares a bucket in the least merged one that both are in:
+    rows with a pair that may be similar are told, not pairs; then links, by the words of those rows.
     """
 
     def numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
         return [t.column(n).to_numpy() for n in names]
 
-    def early(t: pa.Table) -> np.ndarray:
-        return met_before(t.column("bucket")[0].as_py(), [np.array(x, np.int64) for x in t.column("buckets").to_pylist()])
+    def left(t: pa.Table) -> np.ndarray:
+        """Pairs that meet in a lesser merged bucket, or share none of those before merging."""
+        buckets, held = ([np.array(x, np.int64) for x in t.column(n).to_pylist()] for n in ("buckets", "held"))
+        return met_before(t.column("bucket")[0].as_py(), buckets) | ~sharing(held)
 
     def concerned(t: pa.Table) -> pa.RecordBatch:
         ids, comp, size, part = numbers(t, "id", "comp", "size", "part")
         bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, 2 * DIMS)
-        x, y, _ = met(ids, comp, size, bag, part, similarity, early(t))
+        x, y, _ = met(ids, comp, size, bag, part, similarity, left(t))
         at = np.unique(np.concatenate([x, y]))
         return pa.RecordBatch.from_arrays([pa.array(v[at], pa.int64()) for v in (*numbers(t, "bucket"), ids, comp)], names=["bucket", "id", "comp"])
 
     def linked(t: pa.Table) -> pa.RecordBatch:
         ids, comp, part = numbers(t, "id", "comp", "part")
-        out = links_in(ids, comp, [unpack(w) for w in t.column("words").to_pylist()], part, early(t), similarity)
+        out = links_in(ids, comp, [unpack(w) for w in t.column("words").to_pylist()], part, left(t), similarity)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     many = cut(rows.filter(F.col("n") > PAIRED).select("bucket", "id", "comp").distinct())
-    some = cut(by_block(many, BLOCK, concerned, "bucket bigint, id bigint, comp bigint", bags).distinct())
+    held = cut(many.groupBy("id").agg(F.collect_set("bucket").alias("held")))  # bounded: the values of an id's texts
+    some = cut(by_block(cut(merged(many, BLOCK)), BLOCK, concerned, "bucket bigint, id bigint, comp bigint", bags.join(held, "id")).distinct())
     release(docs.sparkSession)
     # A pair is told in its least bucket only, so that is also the least of those that its rows are told in.
     words = words_of(docs, small(cut(some.select("id").distinct()), MOST_IDS))
-    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", words).distinct())
-    del many, some, words
+    found = cut(by_block(some, ALIGNED, linked, "a bigint, b bigint", words.join(held, "id")).distinct())
+    del many, held, some, words
     release(docs.sparkSession)
     return found
 

@@ -371,3 +371,39 @@ def test_rows_in_blocks_grow_with_the_bucket(spark):
     got = sorted(tuple(r) for r in neardup.by_block(some, 16, pairs, "bucket bigint, a bigint, b bigint").distinct().collect())
     comp = [0 if i < 70 else i // 2 for i in range(150)]
     assert got == [(0, i, j) for i in range(150) for j in range(i + 1, 150) if comp[i] != comp[j]] + [(1, i, j) for i in range(40) for j in range(i + 1, 40)]
+
+
+def test_buckets_of_one_main_component_are_dealt_once(spark, monkeypatch):
+    """Thirty buckets of the same sixty texts: each id is dealt in few blocks, not in each bucket. Of texts in unlike buckets none meet."""
+    sizes, dealt = [], neardup.in_cells
+
+    def counted(rows):
+        out = dealt(rows)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "in_cells", counted)
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)], "doc_id bigint, text string")
+    bags = neardup.signatures(docs).select(F.col("doc_id").alias("id"), "size", "bag")
+    # One component and ten texts beside it; the same where each bucket holds two of the ten.
+    rows = spark.sql("SELECT b.id AS bucket, i.id, if(i.id < 50, 0, i.id) AS comp, 60L AS n FROM range(30) b CROSS JOIN range(60) i")
+    for few, buckets in ((rows, 30), (rows.filter("id < 50 OR id % 5 = bucket % 5"), 30), (rows.filter("id < 50 OR id % 5 = bucket AND bucket < 3"), 3)):
+        sizes.clear()
+        links = neardup.large_links(few, bags, docs, neardup.SIMILARITY).collect()
+        assert len(sizes) == 2 and max(sizes) <= 60
+        joined = {x for r in links for x in (r["a"], r["b"]) if x >= 50}
+        assert joined == {i for i in range(50, 60) if buckets == 30 or i % 5 < 3}
+    # Texts that share no bucket are not looked at, though their buckets are merged.
+    apart = rows.filter("id < 25 AND bucket = 0 OR id >= 25 AND id < 50 AND bucket = 1 OR id = 50 AND bucket = 0 OR id = 51 AND bucket = 1")
+    links = neardup.large_links(apart, bags, docs, neardup.SIMILARITY).collect()
+    assert sorted((r["a"] // 25, r["b"]) for r in links) == [(0, 50), (1, 51)]
+
+
+def test_buckets_are_merged_where_that_makes_fewer_rows(spark):
+    """Buckets of one main component whose rows are all others make more rows in blocks together than apart."""
+    rows = spark.sql("SELECT b.id AS bucket, 100 * b.id + i.id AS id, if(i.id < 50, -1, 100 * b.id + i.id) AS comp FROM range(20) b CROSS JOIN range(60) i")
+    other = spark.sql("SELECT 100 + b.id AS bucket, 9000 + i.id AS id, if(i.id < 50, -2, 9000 + i.id) AS comp FROM range(20) b CROSS JOIN range(60) i")
+    like = spark.sql("SELECT 200 AS bucket, 9900 + id AS id, -3 AS comp FROM range(60)")
+    got = neardup.merged(rows.unionByName(other).unionByName(like), 64).groupBy("bucket").count().collect()
+    assert {r["bucket"]: r["count"] for r in got} == {b: 60 for b in [*range(20), 100]}
