@@ -38,7 +38,8 @@ def query_for(lib: Library, named: NamedQuery) -> Query | None:
 
 def timeline(drives: dict[str, Library], named: NamedQuery) -> DataFrame | None:
     """Items of all drives, a photo that lies on several (one name and content) once: the one with the latest date of the user's, then by drive,
-    path and id; loved if any copy is. Sorted newest first, then by path, drive and id. None where no drive can show anything."""
+    path (none last) and id; loved if any copy is. Items whose content is unknown count as one content. Sorted newest first, then by path, drive
+    and id. None where no drive can show anything."""
     parts = []
     for drive, lib in drives.items():
         q = query_for(lib, named)
@@ -53,9 +54,10 @@ def timeline(drives: dict[str, Library], named: NamedQuery) -> DataFrame | None:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    loved = rows.groupBy("copy_name", "full_hash").agg(F.bool_or("loved").alias("loved"), F.countDistinct("drive").alias("n_drives"))
-    once = latest(rows.drop("loved"), ["copy_name", "full_hash"], F.col("dated_at").desc_nulls_last(), F.col("drive"), F.col("path"), F.col("id"))
-    return once.join(loved, ["copy_name", "full_hash"]).orderBy(F.desc("sort"), "path", "drive", "id")
+    loved = rows.groupBy(F.col("copy_name").alias("__name"), F.col("full_hash").alias("__hash")).agg(F.bool_or("loved").alias("loved"), F.countDistinct("drive").alias("n_drives"))
+    once = latest(rows.drop("loved"), ["copy_name", "full_hash"], F.col("dated_at").desc_nulls_last(), F.col("drive"), F.col("path").asc_nulls_last(), F.col("id"))
+    same = F.col("copy_name").eqNullSafe(F.col("__name")) & F.col("full_hash").eqNullSafe(F.col("__hash"))
+    return once.join(loved, same).drop("__name", "__hash").orderBy(F.desc("sort"), "path", "drive", "id")
 
 
 def group_hits(per_drive: DataFrame) -> DataFrame:

@@ -98,6 +98,7 @@ def timeline(files: DataFrame, overrides: DataFrame, estimates: DataFrame) -> Da
 
     Date: the user's estimate, else the effective date, else the month of the nearest event folder,
     else the earlier of creation and change. Order by sort descending, then path in lower case.
+    A file without a folder has no path.
     """
     shown = files.filter("missing_since IS NULL AND kind <> 'raw'")
     shown, pairs = folded_clips(shown)
@@ -118,7 +119,7 @@ def timeline(files: DataFrame, overrides: DataFrame, estimates: DataFrame) -> Da
         .otherwise(told(dates.local_text(dates.earlier_of(created, F.col("mtime_ns"))), F.when(by_created, "created").otherwise("modified"), F.lit("day")))
     )
     out = rows.withColumn("__c", chosen).withColumn("sort", F.col("__c.sort")).withColumn("date_source", F.col("__c.source")).withColumn("precision", F.col("__c.precision"))
-    return out.withColumn("path", F.concat_ws("/", "folder", "name")).drop("__c", "__y", "__m", "__d")
+    return out.withColumn("path", F.concat("folder", F.lit("/"), "name")).drop("__c", "__y", "__m", "__d")
 
 
 def in_order(items: DataFrame) -> DataFrame:

@@ -121,6 +121,34 @@ def test_all_drives_timeline_is_settled(spark):
     assert [tuple(r) for r in got] == [("a", 1, True, 1)]
 
 
+@pytest.fixture(scope="module")
+def odd(spark, sf, tmp_path_factory):
+    """Documents twice, the second time with some languages or sources null; some texts null, some languages in capitals. No two copies lie at one path."""
+    d = tmp_path_factory.mktemp("odd")
+    for t in os.listdir(sf):
+        if not t.startswith("documents"):
+            os.symlink(f"{sf}/{t}", d / t)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.expr("CASE WHEN doc_id % 10 <> 3 THEN text END")).withColumn("lang", F.expr("CASE WHEN doc_id % 10 = 8 THEN upper(lang) ELSE lang END"))
+    again = docs.selectExpr("doc_id + 5000 AS doc_id", "text", "CASE WHEN doc_id % 4 <> 0 THEN lang END AS lang", "CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 > 1 THEN concat(source, 'x') ELSE source END AS source", "n_chars")
+    docs.unionByName(again.select(docs.columns)).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_all_drives_timeline_of_odd_rows(spark, odd):
+    """Files without content, folder or path, and tags in capitals, are shown as in the SQL."""
+    got, want = both(spark, odd, "all_drives_timeline")
+    assert got == want and len(want) > 50
+
+def test_all_drives_timeline_without_the_tag(spark, sf, tmp_path):
+    """No file has the tag: no rows, under the columns of other tables."""
+    for t in os.listdir(sf):
+        if not t.startswith("documents"):
+            os.symlink(f"{sf}/{t}", tmp_path / t)
+    spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id IN (2, 3)").withColumn("lang", F.lit("fr")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert both(spark, tmp_path, "all_drives_timeline") == ([], [])
+    assert catalog.QUERIES["all_drives_timeline"](spark, str(tmp_path)).dtypes == catalog.QUERIES["all_drives_timeline"](spark, sf).dtypes
+
+
 def test_links_grow_with_files_and_decisions(spark):
     """Four hundred files of five near hashes and no decision: links are few, one group; with decisions, groups as by all pairs."""
     codes = [0, 1, 3, 127, 85]
