@@ -128,9 +128,9 @@ def cross_duplicates(files: DataFrame, ignored: list[str] = ()) -> DataFrame:
 
 
 def shown_once(files: DataFrame) -> DataFrame:
-    """One row for each photo that lies on several drives under one name: the latest by the user's date (none last), then drive, path and id."""
+    """One row for each photo that lies on several drives under one name: the latest by the user's date (none last), then drive, path (none last) and id."""
     rows = present(files).withColumn("copy_name", F.lower("name"))
-    return latest(rows, ["copy_name", "full_hash"], F.col("dated_at").desc_nulls_last(), F.col("drive"), F.col("path"), F.col("id"))
+    return latest(rows, ["copy_name", "full_hash"], F.col("dated_at").desc_nulls_last(), F.col("drive"), F.col("path").asc_nulls_last(), F.col("id"))
 
 
 def other_copies(files: DataFrame, drive: str, file_id: int) -> DataFrame:

@@ -139,6 +139,11 @@ def test_all_drives_timeline_of_odd_rows(spark, odd):
     got, want = both(spark, odd, "all_drives_timeline")
     assert got == want and len(want) > 50
 
+def test_shown_once_of_odd_rows(spark, odd):
+    """Of a file with a path and one without, that with a path is shown, as in the SQL."""
+    got, want = both(spark, odd, "copies_shown_once")
+    assert got == want and len(want) > 200
+
 def test_all_drives_timeline_without_the_tag(spark, sf, tmp_path):
     """No file has the tag: no rows, under the columns of other tables."""
     for t in os.listdir(sf):
