@@ -156,10 +156,11 @@ def month_groups(items: DataFrame) -> DataFrame:
 
 
 def hidden(items: DataFrame, folders: DataFrame) -> DataFrame:
-    """items with is_hidden: whether a flagged folder holds them, at any level."""
+    """items with is_hidden: whether a flagged folder holds them, at any level. Each folder is looked at once."""
     flagged = small(folders.select(F.col("path").alias("__above")).distinct())
-    levels = items.select("id", F.explode(ancestors(F.col("folder"))).alias("__above")).join(flagged, "__above", "left_semi").select("id").distinct()
-    return items.join(levels.withColumn("__h", F.lit(True)), "id", "left").withColumn("is_hidden", F.coalesce("__h", F.lit(False))).drop("__h")
+    own = items.select("folder").distinct()
+    held = own.select("folder", F.explode(ancestors(F.col("folder"))).alias("__above")).join(flagged, "__above", "left_semi").select("folder").distinct()
+    return items.join(held.withColumn("__h", F.lit(True)), "folder", "left").withColumn("is_hidden", F.coalesce("__h", F.lit(False))).drop("__h")
 
 
 def ancestors(folder: Column) -> Column:

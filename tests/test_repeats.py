@@ -144,6 +144,16 @@ def test_shown_once_of_odd_rows(spark, odd):
     got, want = both(spark, odd, "copies_shown_once")
     assert got == want and len(want) > 200
 
+def test_all_drives_timeline_of_repeated_ids(spark, sf, tmp_path):
+    """An id twice, in a hidden folder and in another: each row is hidden by its own folder, as in the SQL."""
+    for t in os.listdir(sf):
+        if not t.startswith("documents"):
+            os.symlink(f"{sf}/{t}", tmp_path / t)
+    rows = [f"SELECT id AS doc_id, concat('text ', id, lang) AS text, lang, concat('src', id % 4) AS source, id AS n_chars FROM (SELECT id, element_at(array('en', 'de', 'fr', 'es'), int((id DIV {n}) % 4 + 1)) AS lang FROM range(600))" for n in (4, 7)]
+    spark.sql(" UNION ALL ".join(rows)).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = both(spark, tmp_path, "all_drives_timeline")
+    assert got == want and len(want) > 50
+
 def test_all_drives_timeline_without_the_tag(spark, sf, tmp_path):
     """No file has the tag: no rows, under the columns of other tables."""
     for t in os.listdir(sf):
